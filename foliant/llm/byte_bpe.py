@@ -4,7 +4,7 @@ For every byte prefix there is exactly one token with which its encoding ends,
 so one number for each prefix holds the encodings of all of them: appended
 bytes only add numbers, and after an edit only numbers behind it change.
 A token may follow another one exactly if merging their joined bytes gives
-back those two tokens.
+back those two tokens, which their edges decide: ranks grow with each merge.
 
 Defined cases: a null text counts as empty; an empty text has no ids, and the
 digests of no bytes; rows are independent, so repeated rows give repeated
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -39,55 +40,79 @@ class PrefixEncoder:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.longest = max(map(len, ranks))
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.usable, self.halves = {}, {}
+        for token, rank in ranks.items():
+            if len(token) == 1:
+                self.usable[token] = rank
+            elif b"".join(halves := self.parts(token, 2)) == token and len(halves) == 2:
+                self.usable[token], self.halves[token] = rank, halves
+        self.right = {r: self._spine(t, 1) for t, r in self.usable.items()}
+        self.left = {r: self._spine(t, 0) for t, r in self.usable.items()}
+        self.follows: dict[int, bool] = {}
         self.known: dict[bytes, int] = {}
         self.most = most
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Plain repeated merging of the adjacent pair of lowest rank; used on two tokens at a time only."""
+    def parts(self, piece: bytes, least: int = 1) -> list[bytes]:
+        """Plain repeated merging of the leftmost adjacent pair of lowest rank, until so many parts are left or none can merge."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > least:
             joined = [self.ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
             if (best := min(joined)) == 1 << 60:
                 break
             i = joined.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def reachable(self, token: int) -> bool:
-        got = self.whole.get(token)
-        if got is None:
-            got = self.whole[token] = self.merged(self.tokens[token]) == [token]
-        return got
-
-    def may_follow(self, a: int, b: int) -> bool:
-        got = self.follows.get((a, b))
-        if got is None:
-            if len(self.follows) >= 4 * self.most:
-                self.follows.clear()
-            got = self.follows[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
-        return got
+        return parts
+
+    def merged(self, piece: bytes) -> list[int]:
+        return [self.ranks[p] for p in self.parts(piece)]
+
+    def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int, int]]:
+        """What stands at a token's edge while it is being merged: (bytes, rank at which it forms, rank at which it is merged on)."""
+        out, until = [], 1 << 60
+        while True:
+            rank = self.ranks[token]
+            out.append((token, rank if len(token) > 1 else -1, until))
+            if len(token) == 1:
+                return out
+            token, until = self.halves[token][side], rank
+
+    def _pair(self, a: int, b: int) -> bool:
+        """Whether the boundary between two tokens survives: no merge across it comes before those that end both edges."""
+        if len(self.follows) >= 4 * self.most:
+            self.follows.clear()
+        get, ok = self.ranks.get, True
+        for x, from_x, until_x in self.right[a]:
+            for y, from_y, until_y in self.left[b]:
+                if from_x < until_y and from_y < until_x:
+                    across = get(x + y)
+                    if across is not None and across < until_x and across <= until_y:
+                        ok = False
+        self.follows[a << 20 | b] = ok
+        return ok
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """last[i]: the token with which the encoding of piece[:i] ends; goes on from what last holds. last[0] is -1."""
-        ranks, known, longest = self.ranks, self.known, self.longest
+        get, known, follows, longest = self.usable.get, self.known, self.follows.get, self.longest
         for i in range(len(last), len(piece) + 1):
-            short = i <= 32
-            if short and (t := known.get(piece[:i])) is not None:
+            if i <= 32 and (t := known.get(piece[:i])) is not None:
                 last.append(t)
                 continue
-            for j in range(max(0, i - longest), i):
-                t = ranks.get(piece[j:i])
-                if t is not None and self.reachable(t) and (not j or self.may_follow(last[j], t)):
-                    last.append(t)
-                    if short:
-                        if len(known) >= self.most:
-                            known.clear()
-                        known[piece[:i]] = t
+            for j in range(i - longest if i > longest else 0, i):
+                if (t := get(piece[j:i])) is None:
+                    continue
+                if not j:
+                    break
+                if (ok := follows(last[j] << 20 | t)) is None:
+                    ok = self._pair(last[j], t)
+                if ok:
                     break
             else:
                 raise ValueError("the vocabulary lacks a single byte of the text")
+            last.append(t)
+            if i <= 32:
+                if len(known) >= self.most:
+                    known.clear()
+                known[piece[:i]] = t
         return last
 
     def tokens_of(self, last: list[int]) -> list[int]:
@@ -125,15 +150,19 @@ class EditablePiece:
         return self.encoder.tokens_of(self.last)
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class TextEncoder:
     """Whole texts: pieces by the published pattern, each encoded separately; chunks between plain spaces are remembered."""
 
     def __init__(self, path: str, published: str):
         self.pieces = PrefixEncoder(read_ranks(path))
         self.split = pattern(published).findall
-        self.by_piece = Remembered(lambda p: np.array(self.pieces.encode(p.encode()), dtype="<u4").tobytes())
+        self.by_piece = Remembered(lambda p: pack_ids(self.pieces.encode(p.encode())), most=500_000)
         self.bare = Remembered(self._chunk, most=50_000)
-        self.lead = Remembered(lambda c: self._chunk(" " + c))
+        self.lead = Remembered(lambda c: self._chunk(" " + c), most=500_000)
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.by_piece.__getitem__, self.split(chunk)))
