@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import byte_bpe, exact_dedup, mixing, token_files, warc
+from foliant.llm import byte_bpe, exact_dedup, kmeans_tree, langid, mixing, quality, token_files, warc
+from foliant.llm.common import held_out
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out()))
+    return langid.identify(docs, model, keep=["doc_id"]).withColumn("held_out", held_out())
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -25,17 +33,27 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.search(_read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return byte_bpe.encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, _read(spark, sf_dir, "labels").where(~held_out()))
+    return quality.score(docs, model, keep=["doc_id"]).withColumn("held_out", held_out())
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_history(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_exact_dedup, op5_token_files, op8_byte_bpe, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_mix_sources, op4_exact_dedup, op5_token_files, op7_kmeans_tree, op8_byte_bpe, op9_quality_neighbours, op10_warc)}
 
 ORACLE_SQL = {
     "op10_warc": """
