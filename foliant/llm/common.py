@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,9 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):  # workers find the package where it isn't installed
+        spark.sparkContext.environment.setdefault("PYTHONPATH", root)
 
 
 def shared_dir(spark: SparkSession) -> str:

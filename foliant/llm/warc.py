@@ -157,13 +157,14 @@ def write_archives(pages: DataFrame, uri: str, most: int = 32 << 20) -> DataFram
     bounded_batches(spark, 256)
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
-    small = stage(rows.select("page_id", "digest").where(F.octet_length("html") >= MIN_REVISIT), "page-digests")
+    row_key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "digest").alias("row_key")
+    small = stage(rows.select("page_id", "digest", row_key).where(F.octet_length("html") >= MIN_REVISIT), "page-digests")
     groups = small.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    members_ = join_groups(small, groups, "digest", "n", small.count()).groupBy(F.col("page_id").alias("pid"), F.col("digest").alias("dig")).agg(F.first("first_id").alias("first_id"))
-    same = F.col("page_id").eqNullSafe(F.col("pid")) & (F.col("digest") == F.col("dig"))
-    marked = rows.join(members_, same, "left").select("page_id", "url", "html", "digest", F.col("dig").isNotNull().alias("shared"), "first_id")
+    shared = join_groups(small, groups, "digest", "n", small.count()).groupBy("row_key").agg(F.first("first_id").alias("first_id")).withColumn("shared", F.lit(True))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = marked.repartition(parts, "page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
+    dealt = rows.withColumn("row_key", row_key).repartition(parts, "row_key")  # equal rows meet, and the join needs no other exchange of payloads
+    marked = dealt.join(shared, "row_key", "left").select("page_id", "url", "html", "digest", F.coalesce("shared", F.lit(False)).alias("shared"), "first_id")
+    placed = marked.sortWithinPartitions("page_id", "digest", "url")
 
     def work(batches):
         from pyspark import TaskContext
