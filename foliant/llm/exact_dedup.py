@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bounded_batches, join_groups, shared_dir, stage  # noqa: F401
+from foliant.llm.common import join_groups, shared_dir, stage
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

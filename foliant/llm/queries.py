@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import byte_bpe, exact_dedup, kmeans_tree, langid, mixing, quality, token_files, warc
+from foliant.llm import byte_bpe, exact_dedup, jaccard_join, kmeans_tree, langid, mixing, quality, token_files, warc
 from foliant.llm.common import held_out
 
 
@@ -33,6 +33,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.search(_read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
@@ -53,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_history(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_mix_sources, op4_exact_dedup, op5_token_files, op7_kmeans_tree, op8_byte_bpe, op9_quality_neighbours, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_mix_sources, op4_exact_dedup, op5_token_files, op6_jaccard_join, op7_kmeans_tree, op8_byte_bpe, op9_quality_neighbours, op10_warc)}
 
 ORACLE_SQL = {
     "op10_warc": """
