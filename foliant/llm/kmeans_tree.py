@@ -31,6 +31,7 @@ LEAF_ROWS = 256
 MAX_LEAVES = 65_536
 SAMPLE_PER_LEAF = 64
 MAX_SAMPLE = 200_000
+FIRST_LEAVES = 8
 
 
 @dataclass
@@ -102,13 +103,14 @@ def _matrix(column) -> np.ndarray:
     return np.array(column.to_pylist() if hasattr(column, "to_pylist") else list(column), dtype=np.float64)
 
 
-def _nearest(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the k nearest (rows, distances), ties by id; by exact differences, in blocks."""
+def _nearest(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, within: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the k nearest (rows, distances), ties by id, none farther than within; by exact differences, in blocks."""
     out, step = [], max(1, 4_000_000 // max(1, x.size))
     for i in range(0, len(queries), step):
         d = np.sqrt(((queries[i : i + step, None, :] - x[None]) ** 2).sum(axis=2))
-        for row in d:
-            near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
+        for n, row in enumerate(d, i):
+            most = np.inf if within is None else within[n]
+            near = np.flatnonzero(row <= (min(most, np.partition(row, k - 1)[k - 1]) if len(row) > k else most))
             near = near[np.lexsort((ids[near], row[near]))][:k]
             out.append((near, row[near]))
     return out
@@ -155,22 +157,26 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
     visits = _calibrate(placed, distinct, tree, k, goal, calibration)
     cuts = {r["leaf"]: -(-r["count"] // leaf_cut) for r in placed.groupBy("leaf").count().where(F.col("count") > leaf_cut).collect()}  # a row a leaf at most
 
-    def order(batches):
-        for batch in batches:
-            out = {"key": [], "v": [], "leaf": [], "cut": []}
-            for key, v in zip(batch.column("key").to_pylist(), batch.column("v").to_pylist()):
-                for leaf in held.value.best_first(np.array(v), visits):
-                    for cut in range(cuts.get(leaf, 1)):
-                        for name, value in (("key", key), ("v", v), ("leaf", leaf), ("cut", cut)):
-                            out[name].append(value)
-            yield out
-
-    asked = arrow_map(distinct.select("key", "v"), order, "key string, v array<double>, leaf long, cut int").select("leaf", "cut", "key", F.lit(None).cast("long").alias("vec_id"), "v")
-    cut = F.lit(0)
-    if cuts:
-        sizes = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv])
-        cut = F.pmod(F.xxhash64("vec_id"), F.coalesce(F.try_element_at(sizes, F.col("leaf")), F.lit(1))).cast("int")
-    there = placed.select("leaf", cut.alias("cut"), F.lit(None).cast("string").alias("key"), "vec_id", "v")
+    sizes = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]) if cuts else None
+    cut = F.pmod(F.xxhash64("vec_id"), F.coalesce(F.try_element_at(sizes, F.col("leaf")), F.lit(1))).cast("int") if cuts else F.lit(0)
+    there = placed.select("leaf", cut.alias("cut"), F.lit(None).cast("string").alias("key"), "vec_id", "v", F.lit(None).cast("double").alias("within"))
+
+    def visit(asking: DataFrame, lo: int, hi: int) -> DataFrame:
+        """The nearest rows in the leaves that come lo to hi in each query's order. asking: key, v, within."""
+
+        def order(batches):
+            for batch in batches:
+                out = {"leaf": [], "cut": [], "key": [], "v": [], "within": []}
+                for key, v, within in zip(*(batch.column(c).to_pylist() for c in ("key", "v", "within"))):
+                    for leaf in held.value.best_first(np.array(v), hi)[lo:]:
+                        for c in range(cuts.get(leaf, 1)):
+                            for name, value in zip(out, (leaf, c, key, v, within)):
+                                out[name].append(value)
+                yield out
+
+        asked = arrow_map(asking, order, "leaf long, cut int, key string, v array<double>, within double")
+        asked = asked.select("leaf", "cut", "key", F.lit(None).cast("long").alias("vec_id"), "v", "within")
+        return asked.unionByName(there).groupBy("leaf", "cut").applyInPandas(compare, "key string, vec_id long, score double")
 
     def compare(group):
         import pandas as pd
@@ -179,11 +185,18 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
         if not len(asks) or not len(has):
             return pd.DataFrame({"key": pd.Series(dtype=str), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
         ids = has["vec_id"].to_numpy(dtype=np.int64)
-        found = _nearest(_matrix(asks["v"]), ids, _matrix(has["v"]), k + 1)
+        found = _nearest(_matrix(asks["v"]), ids, _matrix(has["v"]), k + 1, asks["within"].to_numpy(dtype=float))
         return pd.DataFrame({"key": np.repeat(asks["key"].to_numpy(), [len(f[0]) for f in found]), "vec_id": ids[np.concatenate([f[0] for f in found])], "score": np.concatenate([f[1] for f in found])})
 
-    found = asked.unionByName(there).groupBy("leaf", "cut").applyInPandas(compare, "key string, vec_id long, score double")
-    best = found.withColumn("__n", F.row_number().over(Window.partitionBy("key").orderBy("score", "vec_id"))).where(F.col("__n") <= k + 1).drop("__n")
+    def top(found: DataFrame) -> DataFrame:
+        return found.withColumn("__n", F.row_number().over(Window.partitionBy("key").orderBy("score", "vec_id"))).where(F.col("__n") <= k + 1).drop("__n")
+
+    best = visit(distinct.withColumn("within", F.lit(float("inf"))), 0, min(visits, FIRST_LEAVES))
+    if visits > FIRST_LEAVES:  # what the first leaves gave bounds what is worth sending from the others
+        near = stage(top(best), "first-leaves")
+        bound = near.groupBy("key").agg(F.when(F.count("*") > k, F.max("score")).otherwise(float("inf")).alias("within"))
+        best = near.unionByName(visit(distinct.join(bound, "key"), FIRST_LEAVES, visits))
+    best = top(best)
     pairs = queries.select(F.col("vec_id").alias("query_id"), "key").distinct().join(best, "key").where("vec_id <> query_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
