@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from foliant.plans.queries import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "flagship_contract_fields"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
