@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from foliant.llm.common import arrow_map, bounded_batches
+from foliant.llm.common import arrow_map, bounded_batches, keep_in_worker
 from foliant.llm.pieces import Remembered, chunks, pattern
 
 
@@ -178,6 +178,7 @@ class TextEncoder:
 
 @lru_cache(maxsize=2)
 def text_encoder(path: str, published: str) -> TextEncoder:
+    keep_in_worker("byte_bpe", text_encoder.cache_clear)
     return TextEncoder(path, published)
 
 
@@ -207,4 +208,4 @@ def encode_documents(docs: DataFrame, path: str, published: str, text: str = "te
     from pyspark.sql import functions as F
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", token_ids array<int>" * ids
-    return arrow_map(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, schema)
+    return arrow_map(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, schema, keeps="byte_bpe")

@@ -96,8 +96,30 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return usual.unionByName(rows.join(hot, key))
 
 
-def arrow_map(df: DataFrame, work: Callable[[Iterator], Iterable], schema: str) -> DataFrame:
-    """mapInArrow over tables made of plain Python columns: work gets and yields dicts of lists or arrays."""
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keep_in_worker(name: str, clear: Callable[[], None]) -> None:
+    """Register what an operator keeps in a Python worker between tasks; workers are shared by operators."""
+    _caches[name] = clear
+
+
+def release(but: str | None = None) -> None:
+    """Give back what other operators have left in this worker."""
+    import ctypes
+    import gc
+
+    for name in [n for n in _caches if n != but]:
+        _caches.pop(name)()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # no such C library
+            pass
+
+
+def arrow_map(df: DataFrame, work: Callable[[Iterator], Iterable], schema: str, keeps: str | None = None) -> DataFrame:
+    """mapInArrow over tables made of plain Python columns: work gets and yields dicts of lists or arrays. keeps: the cache that work uses."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -106,6 +128,7 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator], Iterable], schema: str)
     def run(batches):
         import pyarrow as pa
 
+        release(keeps)
         for out in work(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type, from_pandas=False) for f in kind], schema=kind)
 

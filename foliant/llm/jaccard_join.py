@@ -8,7 +8,7 @@ pairs that survive are verified on the sets themselves.
 Which documents meet in a tree is decided without loss: two sets of the wanted
 similarity share one of the first shingles of each in any order that is the
 same for all; here rare shingles come first, by counts in a table of fixed
-size. A shingle's documents are compared with one of them, the leader, first.
+size. A shingle's documents are compared with a few of them, the leaders, first.
 Only where that leaves several components in a shingle's list are the pairs
 between these components compared, too. So thousands of near copies cost as
 many comparisons as there are copies, and no link between components is lost.
@@ -24,6 +24,7 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -34,8 +35,10 @@ from foliant.llm.common import arrow_map, bounded_batches, group_bounds, join_gr
 from foliant.llm.components import components
 from foliant.llm.shingles import mixed, shingle_set
 
-SLOTS = 22  # of the table of counts, as a power of two
-CHUNK = 16  # of a part of the table, as a power of two
+LEADERS = 8  # of a list, with whom all others in it are compared at once
+GROUPS = 256  # of shingles: the coordinates of a point
+SLOTS = 24  # of the table of counts, as a power of two
+CHUNK = 20  # of a part of the table, as a power of two
 BLOOM = 27  # bits of the filter of wanted documents, as a power of two
 
 
@@ -69,24 +72,23 @@ class CountVectorRTree:
         return self.order[rows]
 
 
-def count_vectors(sets: list[np.ndarray], groups: int) -> np.ndarray:
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    return np.bincount(owner * groups + (flat % np.uint64(groups)).astype(np.int64), minlength=len(sets) * groups).reshape(len(sets), groups)
+def point_of(shingles: np.ndarray) -> tuple[bytes, int]:
+    """Group counts in one byte each, and the unit in which they are given; counts are rounded up, so that bounds stay bounds."""
+    counts = np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    unit = max(1, -(-int(counts.max()) // 255))
+    return (-(-counts // unit)).astype(np.uint8).tobytes(), unit
 
 
-def linked(leader: np.ndarray, sets: list[np.ndarray], share: Fraction) -> list[int]:
-    """Numbers of the sets whose similarity with the leader is at least share."""
-    groups = 1 << int(np.clip(np.ceil(np.log2(max(2, len(leader) / 2))), 4, 8))
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    tree = CountVectorRTree(count_vectors(sets, groups), sizes)
-    out = []
-    for i in tree.search(count_vectors([leader], groups)[0], len(leader), share).tolist():
-        at = np.minimum(np.searchsorted(leader, sets[i]), len(leader) - 1)
-        both = int(np.count_nonzero(leader[at] == sets[i]))
-        if both * share.denominator >= share.numerator * (len(leader) + len(sets[i]) - both):
-            out.append(i)
-    return out
+def points(bodies: list[bytes], units: list[int]) -> np.ndarray:
+    return np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, GROUPS).astype(np.int64) * np.array(units, dtype=np.int64)[:, None]
+
+
+def linked(a: np.ndarray, b: np.ndarray, share: Fraction) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least share."""
+    if not len(a) or not len(b):
+        return False
+    both = int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
+    return both * share.denominator >= share.numerator * (len(a) + len(b) - both)
 
 
 def _sets(docs: DataFrame, width: int):
@@ -95,30 +97,26 @@ def _sets(docs: DataFrame, width: int):
 
 
 def _frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
-    """The logarithm of the number of documents by a shingle's slot, as one byte each. Slots that are rare within a task count 0: any values give a correct order."""
+    """The logarithm of the number of documents by a shingle's slot, as one byte each. Shingles share slots: any values give a correct order, and better ones fewer comparisons."""
     sets = _sets(docs, width)
 
     def count(batches):
-        total, n = np.zeros(1 << SLOTS, dtype=np.int32), 0
+        total = np.zeros(1 << SLOTS, dtype=np.uint32)
         for batch in batches:
             for s in sets(batch):
-                at = (s >> np.uint64(64 - SLOTS)).astype(np.int64)
-                n += len(at)
-                np.add.at(total, at, 1) if len(at) < 1 << 14 else np.add(total, np.bincount(at, minlength=1 << SLOTS), out=total, casting="unsafe")
-        often = np.flatnonzero(total > 2 + 3 * n // (1 << SLOTS))
-        cuts = np.searchsorted(often, np.arange(0, (1 << SLOTS) + 1, 1 << CHUNK))
-        for c, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            if i < j:
-                yield {"chunk": [c], "at": [(often[i:j] - (c << CHUNK)).astype("<i4").tobytes()], "n": [total[often[i:j]].astype("<i4").tobytes()]}
+                total[(s >> np.uint64(64 - SLOTS)).astype(np.int64)] += 1
+        for c in range(1 << SLOTS - CHUNK):
+            part = total[c << CHUNK : (c + 1) << CHUNK]
+            if part.any():
+                yield {"chunk": [c], "n": [zlib.compress(np.minimum(part, 65_535).astype("<u2").tobytes(), 1)]}
 
     def add(group):
         total = np.zeros(1 << CHUNK, dtype=np.int64)
-        for at, n in zip(group["at"], group["n"]):
-            total[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i4")
-        level = np.ceil(4 * np.log2(1 + total)).astype(np.uint8)
-        return group.head(1)[["chunk"]].assign(level=[level.tobytes()])
+        for n in group["n"]:
+            total += np.frombuffer(zlib.decompress(n), "<u2")
+        return group.head(1)[["chunk"]].assign(level=[np.minimum(np.rint(8 * np.log2(1 + total)), 255).astype(np.uint8).tobytes()])
 
-    rows = arrow_map(docs.select("text"), count, "chunk int, at binary, n binary").groupBy("chunk").applyInPandas(add, "chunk int, level binary").collect()
+    rows = arrow_map(docs.select("text"), count, "chunk int, n binary").groupBy("chunk").applyInPandas(add, "chunk int, level binary").collect()
     out = np.zeros(1 << SLOTS, dtype=np.uint8)
     for r in rows:
         out[r["chunk"] << CHUNK : (r["chunk"] + 1) << CHUNK] = np.frombuffer(r["level"], np.uint8)
@@ -130,18 +128,21 @@ def _long(h: np.ndarray) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, levels, width: int, share: Fraction) -> DataFrame:
-    """doc_id, n, class (a set's fingerprint, null if empty), keys: the shingles that one of must be shared, rarest first, 6 bytes each."""
+    """doc_id, n, class (a set's fingerprint, null if empty), keys: the shingles of which one must be shared, rarest first, 6 bytes each; point, unit."""
     sets = _sets(docs, width)
 
     def work(batches):
         for batch in batches:
-            out = {"doc_id": batch.column("doc_id"), "n": [], "class": [], "keys": []}
+            out = {"doc_id": batch.column("doc_id"), "n": [], "class": [], "keys": [], "point": [], "unit": []}
             for s in sets(batch):
                 out["n"].append(len(s))
                 if not len(s):
-                    out["class"].append(None)
-                    out["keys"].append(None)
+                    for k in ("class", "keys", "point", "unit"):
+                        out[k].append(None)
                     continue
+                point, unit = point_of(s)
+                out["point"].append(point)
+                out["unit"].append(unit)
                 out["class"].append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
                 first = len(s) - -(-len(s) * share.numerator // share.denominator) + 1
                 rarity = levels.value[(s >> np.uint64(64 - SLOTS)).astype(np.int64)]
@@ -149,7 +150,7 @@ def _classes(docs: DataFrame, levels, width: int, share: Fraction) -> DataFrame:
                 out["keys"].append((keys >> np.uint64(48)).astype("<u2").tobytes() + keys.astype("<u4").tobytes())
             yield out
 
-    return arrow_map(docs, work, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, class long, keys binary")
+    return arrow_map(docs, work, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, class long, keys binary, point binary, unit int")
 
 
 def _postings(classes: DataFrame, buckets: int) -> DataFrame:
@@ -197,20 +198,24 @@ def _lists(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meetings(postings: DataFrame, buckets: int) -> DataFrame:
-    """Rows of two kinds: (a, b, null, null), a leader and a class that shares a key with it; (null, null, list, body), the classes of a key that three or more share."""
+    """Rows of two kinds: (a, b, null, null), a leader and a class that shares a key with it; (null, null, list, body), the classes of a key that more share than have been leaders."""
 
     def merged(bodies):
         who, bounds = _lists(bodies)
         size = np.diff(bounds)
-        leader = np.repeat(who[bounds[:-1]], size)
-        pairs = np.unique(np.stack([leader, who], axis=1)[leader != who], axis=0) if len(who) else np.zeros((0, 2), np.int64)
+        place = np.arange(len(who)) - np.repeat(bounds[:-1], size)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for k in range(LEADERS):
+            leader = np.repeat(who[np.minimum(bounds[:-1] + k, bounds[1:] - 1)], size)
+            pairs.append(np.stack([leader, who], axis=1)[place > k])
+        pairs = np.unique(np.concatenate(pairs), axis=0)
         for i in range(0, len(pairs), 20_000):
             p = pairs[i : i + 20_000]
             yield {"a": p[:, 0], "b": p[:, 1], "list": [None] * len(p), "body": [None] * len(p)}
         if len(who):
             mark = np.add.reduceat(mixed(who.view(np.uint64)), bounds[:-1])
             _, once = np.unique(mark, return_index=True)
-            once = once[size[once] > 2]
+            once = once[size[once] > LEADERS + 1]
             for i in range(0, len(once), 200):
                 k = once[i : i + 200]
                 yield {"a": [None] * len(k), "b": [None] * len(k), "list": _long(mark[k]), "body": [who[bounds[x] : bounds[x + 1]] for x in k]}
@@ -230,13 +235,63 @@ def _meetings(postings: DataFrame, buckets: int) -> DataFrame:
     return arrow_map(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket"), work, "a long, b long, list long, body array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, share: Fraction, per_task: int = 500) -> DataFrame:
-    """The pairs (a, b) that are linked. a is a leader; its candidates are cut into parts of about per_task, each with the leader's set in front."""
+def _by_leader(pairs: DataFrame, payload: DataFrame, columns: list[str], keep, per_task: int = 500) -> DataFrame:
+    """The pairs (a, b) that keep(leader, others) lets through.
+
+    A leader's candidates are cut into parts of about per_task, each with the
+    leader's own payload in front; a task reads them as a stream.
+    """
+    cuts = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).alias("cuts"))
+    placed = pairs.join(cuts, "a").withColumn("cut", F.pmod(F.xxhash64("b"), "cuts")).select("a", "cut", F.col("b").alias("class"))
+    leaders = cuts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"), F.col("a").alias("class"))
+    rows = placed.unionByName(leaders).join(payload, "class").withColumn("leads", F.col("class") == F.col("a"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "a", "cut").sortWithinPartitions("a", "cut", F.desc("leads")).select("a", "cut", "class", "leads", *columns)
+
+    def work(batches):
+        leader, now = None, None
+        for batch in batches:
+            keys = zip(batch.column("a").to_pylist(), batch.column("cut").to_pylist())
+            held, out = [], {"a": [], "b": []}
+
+            def done():
+                got = keep(leader, held)
+                out["a"] += [now[0]] * len(got)
+                out["b"] += got
+                held.clear()
+
+            for k, c, first, *own in zip(keys, *(batch.column(c).to_pylist() for c in ("class", "leads", *columns))):
+                if k != now and held:
+                    done()
+                now = k
+                if first:
+                    leader = own
+                else:
+                    held.append((c, own))
+            if held:
+                done()
+            yield out
+
+    return arrow_map(rows, work, "a long, b long")
+
+
+def _reachable(pairs: DataFrame, classes: DataFrame, share: Fraction) -> DataFrame:
+    """The pairs that the trees' bounds let through: for each leader a tree over its candidates' points."""
+
+    def keep(leader, held):
+        sizes = np.array([own[0] for _, own in held], dtype=np.int64)
+        tree = CountVectorRTree(points([own[1] for _, own in held], [own[2] for _, own in held]), sizes)
+        return [held[i][0] for i in tree.search(points([leader[1]], [leader[2]])[0], leader[0], share).tolist()]
+
+    return stage(_by_leader(pairs, classes.select("class", "n", "point", "unit"), ["n", "point", "unit"], keep), "reachable")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """The pairs (a, b) that are linked, by their whole sets. These are made again from the texts that are wanted; a filter of fixed size tells which."""
     spark = docs.sparkSession
-    pairs = stage(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    members = classes.groupBy("class").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("doc_id"))
-    wanted = stage(wanted.join(members, "class"), "wanted")
+    members = rows.groupBy("class").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("doc_id"))
+    wanted = stage(wanted.join(members, "class").select("doc_id"), "wanted")
 
     def mark(batches):
         bits = np.zeros(1 << BLOOM - 3, dtype=np.uint8)
@@ -275,51 +330,60 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
             found = [s for s in found if len(s)]
             yield {"class": [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in found], "set": [s.astype("<u8").tobytes() for s in found]}
 
-    sets = arrow_map(docs.select("text", hashed), again, "class long, set binary").join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
-    cuts = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).alias("cuts"))
-    placed = pairs.join(cuts, "a").withColumn("cut", F.pmod(F.xxhash64("b"), "cuts")).select("a", "cut", F.col("b").alias("class"))
-    leaders = cuts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"), F.col("a").alias("class"))
-    rows = placed.unionByName(leaders).join(sets, "class").withColumn("leads", F.col("class") == F.col("a"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "a", "cut").sortWithinPartitions("a", "cut", F.desc("leads"))
+    sets = arrow_map(docs.select("text", hashed), again, "class long, set binary").groupBy("class").agg(F.first("set").alias("set"))
 
-    def verify(batches):
-        leader, now = None, None
-        for batch in batches:
-            key = list(zip(batch.column("a").to_pylist(), batch.column("cut").to_pylist()))
-            ids, bodies, leads = batch.column("class").to_pylist(), batch.column("set").to_pylist(), batch.column("leads").to_pylist()
-            held, out = [], []
+    def keep(leader, held):
+        a = np.frombuffer(leader[0], "<u8")
+        return [c for c, own in held if linked(a, np.frombuffer(own[0], "<u8"), share)]
 
-            def done():
-                out.extend((now[0], held[i][0]) for i in linked(leader, [s for _, s in held], share))
-                held.clear()
+    return stage(_by_leader(pairs, sets, ["set"], keep), "links")
 
-            for k, c, body, first in zip(key, ids, bodies, leads):
-                s = np.frombuffer(body, "<u8")
-                if k != now and held:
-                    done()
-                now = k
-                if first:
-                    leader = s
-                else:
-                    held.append((c, s))
-            if held:
-                done()
-            if out:
-                yield {"a": [x[0] for x in out], "b": [x[1] for x in out]}
-
-    return stage(arrow_map(rows.select("a", "cut", "class", "set", "leads"), verify, "a long, b long"), "links")
 
+def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, tried: DataFrame, share: Fraction, block: int = 2000) -> DataFrame:
+    """Pairs of different components that share a list and that a tree's bounds let through, without those compared already.
 
-def _across(lists: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of different components that share a list, without those compared already."""
+    A list is one tree; one of more than block classes is cut, and each two of
+    its cuts make a tree.
+    """
     member = lists.select("list", F.explode("body").alias("node"))
     member = member.join(labels, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
-    open_ = member.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
-    member = stage(member.join(open_, "list", "left_semi"), "open-lists")
-    x, y = member.alias("x"), member.alias("y")
-    pairs = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.component") < F.col("y.component"))).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    return pairs.distinct().join(tried, ["a", "b"], "left_anti")
+    open_ = member.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / block).alias("cuts")).where("lo < hi").select("list", "cuts")
+    member = member.join(open_, "list").withColumn("cut", F.pmod(F.xxhash64("node"), "cuts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))
+    member = member.select("list", "node", "component", "cut", other.alias("with")).select("list", F.least("cut", "with").alias("i"), F.greatest("cut", "with").alias("j"), "cut", "node", "component")
+    member = member.join(classes.select(F.col("class").alias("node"), "n", "point", "unit"), "node")
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    member = member.repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j", "node")
+
+    def found(key, rows):
+        node, component, cut, n, point, unit = (list(x) for x in zip(*rows))
+        node, component, cut, n = (np.array(x, dtype=np.int64) for x in (node, component, cut, n))
+        names, count = np.unique(component, return_counts=True)
+        common = names[count.argmax()]
+        all_points = points(point, unit)
+        tree, out = CountVectorRTree(all_points, n), {"a": [], "b": []}
+        for q in np.flatnonzero(component != common).tolist():
+            near = tree.search(all_points[q], int(n[q]), share)
+            near = near[(component[near] != component[q]) & ((component[near] == common) | (node[near] < node[q]))]
+            if key[1] != key[2]:
+                near = near[cut[near] != cut[q]]
+            out["a"] += np.minimum(node[near], node[q]).tolist()
+            out["b"] += np.maximum(node[near], node[q]).tolist()
+        return out
+
+    def work(batches):
+        held, now = [], None
+        for batch in batches:
+            for key, *row in zip(zip(*(batch.column(c).to_pylist() for c in ("list", "i", "j"))), *(batch.column(c).to_pylist() for c in ("node", "component", "cut", "n", "point", "unit"))):
+                if key != now and held:
+                    yield found(now, held)
+                    held = []
+                now = key
+                held.append(row)
+        if held:
+            yield found(now, held)
+
+    return arrow_map(member, work, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: Fraction = Fraction(3, 4), text: str = "text", doc_id: str = "doc_id", links: bool = False) -> DataFrame:
@@ -331,15 +395,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: Fraction = Fraction(
     levels = spark.sparkContext.broadcast(_frequency_levels(docs, width))
     rows = stage(_classes(docs, levels, width, share), "classes")
     full = rows.where("n > 0")
-    classes = full.groupBy("class").agg(F.first("keys").alias("keys"))
+    classes = full.groupBy("class").agg(F.first(F.struct("keys", "n", "point", "unit")).alias("x")).select("class", "x.*")
+    classes = stage(classes, "distinct-sets")
     total = full.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0]
     buckets = int(min(65_536, max(64, total >> 24)))
     met = stage(_meetings(_postings(classes, buckets), buckets), "meetings")
-    stars = met.where("a is not null").select("a", "b").distinct()
-    found = _verified(stars, docs, full.select("class", "doc_id"), width, share)
+    stars = stage(met.where("a is not null").select("a", "b").distinct(), "stars")
+    found = _verified(_reachable(stars, classes, share), docs, full.select("class", "doc_id"), width, share)
     labels = components(found)
     lists = met.where("list is not null").groupBy("list").agg(F.first("body").alias("body"))
-    across = stage(_across(lists, labels, stars), "across")
+    across = stage(_across(lists, labels, classes, stars, share), "across")
     if across.limit(1).count():
         more = _verified(across, docs, full.select("class", "doc_id"), width, share)
         found = found.unionByName(more)
