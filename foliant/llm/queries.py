@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import byte_bpe, exact_dedup, jaccard_join, kmeans_tree, langid, mixing, quality, token_files, warc
+from foliant.llm import byte_bpe, exact_dedup, jaccard_join, kmeans_tree, langid, licences, mixing, quality, token_files, warc
 from foliant.llm.common import held_out
 
 
@@ -23,6 +23,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.by_document(licences.scan(_read(spark, sf_dir, "documents"), licences.train()))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_read(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_history(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_mix_sources, op4_exact_dedup, op5_token_files, op6_jaccard_join, op7_kmeans_tree, op8_byte_bpe, op9_quality_neighbours, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_mix_sources, op3_licence_scan, op4_exact_dedup, op5_token_files, op6_jaccard_join, op7_kmeans_tree, op8_byte_bpe, op9_quality_neighbours, op10_warc)}
 
 ORACLE_SQL = {
     "op10_warc": """
