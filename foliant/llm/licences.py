@@ -146,7 +146,7 @@ def scan(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_i
     table = weights.join(templates, "gram", "left")
     t = F.col("text")
     gated = F.when(t.rlike(GATE), F.filter(F.transform(F.split(t, "\n"), lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: x["p"].rlike(GATE)))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.explode_outer(gated).alias("x"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("uid")).select("uid", "doc_id", F.explode_outer(gated).alias("x"))
     rows = rows.select("uid", "doc_id", F.col("x.i").alias("paragraph"), F.col("x.p").alias("body"))
     grams = rows.withColumn("gram", F.explode_outer(paragraph_grams(F.col("body")))).join(F.broadcast(table), "gram", "left")
     sums = [F.coalesce(F.sum(F.col("w")[c]), F.lit(0.0)) + model.bias[c] for c in range(len(CLASSES))]
