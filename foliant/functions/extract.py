@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,17 @@ from foliant.functions import patterns as P
 from foliant.functions import regex
 
 
+def _guarded(text: Column, pattern: str) -> Column:
+    """The first match, looked for only in texts with the words that the pattern begins with: a plain search costs far less."""
+    value, words = regex.first(text, pattern, P.group_count(pattern)), P.needed_words(pattern)
+    if not words:
+        return value
+    return F.when(reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words]), value)
+
+
 def field(text: Column, name: str) -> Column:
     """The value by the first pattern that matches; null if none does."""
-    return F.coalesce(*[regex.first(text, p, P.group_count(p)) for p in P.PATTERNS[name]])
+    return F.coalesce(*[_guarded(text, p) for p in P.PATTERNS[name]])
 
 
 def fields(df: DataFrame, text: str = "text", names: Iterable[str] = tuple(P.PATTERNS)) -> DataFrame:

@@ -69,3 +69,26 @@ NATIONAL_ID, COMPANY_ID, MOBILE, PHONE = r"[A-Z][0-9]{9}", r"[0-9]{8}", r"09\d{2
 
 def group_count(pattern: str) -> int:
     return re.compile(pattern).groups
+
+
+_META = set(r"\.^$*+?()[]{}|")
+
+
+def needed_words(pattern: str) -> tuple[str, ...]:
+    """Words of which any text that matches has one: what the pattern begins with, as far as that is plain; () if it isn't."""
+    depth = 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            return ()
+    if pattern.startswith("(?:"):
+        body = pattern[3 : pattern.find(")")]
+        words = tuple(body.split("|"))
+        plain = all(w and not _META & set(w) for w in words)
+        return words if plain and pattern[pattern.find(")") + 1 : pattern.find(")") + 2] not in ("?", "*", "{") else ()
+    word = ""
+    for i, c in enumerate(pattern):
+        if c in _META:
+            return (word[:-1] if c in "?*{" else word,) if len(word) > (c in "?*{") else ()
+        word += c
+    return (word,) if word else ()

@@ -86,3 +86,8 @@ def test_merge(spark, own, other, value):
 def test_kind(spark, text, kind):
     r = one(spark, text, classify.kind(F.col("text")), classify.is_transcript(F.col("text")))
     assert r[0] == kind and r[1] == ("謄本" in (text or ""))
+
+
+@pytest.mark.parametrize("pattern, words", [("ab+c", ("a",)), ("ab|c", ()), ("a?b", ()), ("(?:ab|c)d", ("ab", "c")), ("(?:ab|c)?d", ()), ("(ab)", ()), (r"\\d", ()), ("(?:a.|b)x", ())])
+def test_needed_words(pattern, words):
+    assert P.needed_words(pattern) == words
