@@ -64,3 +64,15 @@ def page_text(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Line blocks joined in order, and the number of page blocks, 1 at least. blocks: doc, ord, block_type, text."""
     lines = F.sort_array(F.collect_list(F.when(F.col("block_type") == "LINE", F.struct("ord", "text"))))
     return blocks.groupBy(doc).agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"), F.greatest(F.count_if(F.col("block_type") == "PAGE"), F.lit(1)).alias("pages"))
+
+
+def line_results(lines: DataFrame, page: str = "page_id") -> DataFrame:
+    """A page's lines joined in order, and their mean confidence; lines: page, ord, text, confidence."""
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
+    return lines.groupBy(page).agg(F.array_join(texts, "\n").alias("text"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+
+
+def fuse_valid(pages: DataFrame, results: DataFrame, method: str = "smart", page: str = "page_id") -> DataFrame:
+    """Every page: its fused result out of those without an error, or an empty text with confidence 0 if there is none."""
+    fused = fuse(results.where("error is null"), method, page)
+    return pages.select(page).join(fused, page, "left").select(page, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

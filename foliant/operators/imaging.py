@@ -186,3 +186,59 @@ def quality_bands(dpi: Column, sharpness: Column, contrast: Column, red: Column)
     """good, fair or poor for each measure."""
     up = lambda x, fair, good: F.when(x >= good, "good").when(x >= fair, "fair").otherwise("poor")
     return F.struct(up(dpi, 200, 300).alias("dpi"), up(sharpness, 100, 500).alias("sharpness"), up(contrast, 100, 150).alias("contrast"), F.when(red <= 3, "good").when(red <= 10, "fair").otherwise("poor").alias("red"))
+
+
+def png(image: np.ndarray) -> bytes:
+    """The image as a PNG file (grey, or colour given as blue, green, red)."""
+    import struct
+    import zlib
+
+    colour = image.ndim == 3 and image.shape[2] == 3
+    rows = image[..., ::-1] if colour else grey(image)
+    h, w = rows.shape[:2]
+    raw = np.concatenate((np.zeros((h, 1), np.uint8), rows.reshape(h, -1)), axis=1).tobytes()
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if colour else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def compress_to_limit(image: np.ndarray, limit: int, encode: Callable[[np.ndarray, int], bytes]) -> bytes:
+    """Lower quality from 95 to 50, then smaller from 0.9 to 0.3, then quality 30, until the file fits; the last try is returned if none does. encode(image, quality) gives a file."""
+    for quality in range(95, 49, -10):
+        if len(out := encode(image, quality)) <= limit:
+            return out
+    for tenths in range(9, 2, -1):
+        small = resize(image, max(1, image.shape[0] * tenths // 10), max(1, image.shape[1] * tenths // 10))
+        if len(out := encode(small, 55)) <= limit:
+            return out
+    return encode(small, 30)
+
+
+def smart_save(image: np.ndarray, encode: Callable[[np.ndarray, int], bytes], limit: int = int(4.5 * 1024 * 1024)) -> tuple[bytes, str]:
+    """A PNG file if it fits, else one that is compressed to the limit."""
+    whole = png(image)
+    return (whole, "png") if len(whole) <= limit else (compress_to_limit(image, limit, encode), "jpg")
+
+
+def compression_totals(files, limit: int):
+    """Totals of a batch (length, new_length, error): files, compressed, skipped because they fit, failed, bytes saved."""
+    fits, failed = F.col("length") <= limit, F.col("error").isNotNull()
+    return files.agg(F.count("*").alias("total"), F.count_if(~fits & ~failed).alias("compressed"), F.count_if(fits & ~failed).alias("skipped"), F.count_if(failed).alias("failed"), F.coalesce(F.sum(F.when(~fits & ~failed, F.col("length") - F.col("new_length"))), F.lit(0)).alias("space_saved"))
+
+
+def enhance(image: np.ndarray, least: int = 2000, contrast: float = 1.3, sharpness: float = 1.5) -> np.ndarray:
+    """Grey, at least so large, with more contrast around the mean, and sharper."""
+    g = at_least(grey(image), least).astype(float)
+    g = np.clip(g.mean() + contrast * (g - g.mean()), 0, 255)
+    return np.clip(np.rint(g + (sharpness - 1) * (g - gaussian(g, 3))), 0, 255).astype(np.uint8)
+
+
+def at_least(image: np.ndarray, longest: int = 1000) -> np.ndarray:
+    """Enlarged until the longer side has so many pixels."""
+    f = longest / max(image.shape[:2])
+    return image if f <= 1 else resize(image, round(image.shape[0] * f), round(image.shape[1] * f))
+
+
+def config_grid(pages, configs: list[dict]):
+    """Every page with every configuration, of which there are few."""
+    table = pages.sparkSession.createDataFrame([(i, repr(sorted(c.items()))) for i, c in enumerate(configs)], "config_no int, config string")
+    return pages.crossJoin(F.broadcast(table))

@@ -96,3 +96,67 @@ def correct(df: DataFrame, provider: Provider, gate: Column, text: str = "text")
     asked = asked.withColumn("corrected", F.when(F.col("used") & ~is_refusal(F.col("answer.text")), F.col("answer.text")).otherwise(F.col(text))).drop("answer")
     rest = df.where(~F.coalesce(gate, F.lit(False))).withColumns({"used": F.lit(False), "error": F.lit(None).cast("string"), "corrected": F.col(text)})
     return asked.unionByName(rest)
+
+
+# Default models by provider.
+DEFAULT_MODELS = {"openai": "gpt-4o", "anthropic": "claude-3-5-haiku-20241022"}
+# What is asked for by kind of document.
+FIELDS = {
+    "repair_quote": ("vendor_name", "quote_date", "valid_until", "items", "total_amount", "notes"),
+    "id_card": ("name", "national_id", "birth_date", "gender", "issue_date"),
+    "lease_contract": ("landlord_name", "tenant_name", "rent", "deposit", "lease_start", "lease_end", "rental_address"),
+}
+
+
+def provider_options(name: str, key: str | None, model: str | None = None) -> dict[str, str]:
+    """The provider's name, key and model, with its default model; raises ValueError for an unknown one or without a key."""
+    if name not in DEFAULT_MODELS:
+        raise ValueError(f"unknown provider {name}; there are {', '.join(DEFAULT_MODELS)}")
+    if not key:
+        raise ValueError(f"no key for {name}")
+    return {"provider": name, "key": key, "model": model or DEFAULT_MODELS[name]}
+
+
+def extraction_prompt(doc_type: Column, text: Column) -> Column:
+    """Asks for the fields of the kind; for an unknown kind, for an empty object."""
+    out = F.concat(F.lit("Answer with {}.\n---\n"), text)
+    for kind, names in FIELDS.items():
+        out = F.when(doc_type == kind, field_prompt(text, names, 1_000_000)).otherwise(out)
+    return out
+
+
+def classification_prompt(text: Column) -> Column:
+    return F.concat(F.lit(f'Which kind of document is this: {", ".join(FIELDS)} or unknown? Answer with {{"doc_type": ..., "confidence": 0 to 100, "reasoning": ...}}.\n---\n'), text)
+
+
+def parse_classification(answer: Column) -> Column:
+    """Struct of doc_type (unknown if it is none of the kinds) and confidence (0 to 100)."""
+    got = parse_fields(answer)
+    kind, sure = F.try_element_at(got, F.lit("doc_type")), F.try_element_at(got, F.lit("confidence")).try_cast("double")
+    return F.struct(F.when(kind.isin(*FIELDS), kind).otherwise("unknown").alias("doc_type"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(sure, F.lit(0.0)))).alias("confidence"))
+
+
+def summary_prompt(text: Column) -> Column:
+    return F.concat(F.lit("Summarise this document in three to five sentences.\n---\n"), text)
+
+
+def stats(answered: DataFrame, provider: str, model: str) -> DataFrame:
+    """Calls, tokens and estimated cost of a DataFrame with answers; zeros without any."""
+    p, c = F.coalesce(F.sum("answer.prompt_tokens"), F.lit(0)), F.coalesce(F.sum("answer.completion_tokens"), F.lit(0))
+    return answered.agg(F.count("answer").alias("llm_calls"), (p + c).alias("tokens_used"), cost(F.lit(provider), F.lit(model), p, c).alias("estimated_cost"))
+
+
+def correct_fields(df: DataFrame, provider: Provider, text: str = "text") -> DataFrame:
+    """Ask for each field candidate of a text on its own, and put the answers in place of the candidates' first occurrences."""
+    from foliant.functions import extract, rules
+    from foliant.functions.patterns import CANDIDATES
+
+    out = df.withColumn("corrected", F.col(text))
+    for name in CANDIDATES:
+        with_field = out.withColumn("__field", extract.candidate(F.col(text), name))
+        asked = ask(with_field.where("__field is not null"), "__field", provider)
+        answer = F.when(F.col("answer.error").isNull(), F.col("answer.text")).otherwise(F.col("__field"))
+        answer = extract.valid_land_number(answer, F.col("__field")) if name == "land_number" else answer
+        done = asked.withColumn("corrected", rules.replace_first(F.col("corrected"), F.col("__field"), answer)).drop("answer", "__field")
+        out = done.unionByName(with_field.where("__field is null").drop("__field"))
+    return out

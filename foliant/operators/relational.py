@@ -113,3 +113,25 @@ def with_source(records: DataFrame, documents: DataFrame) -> DataFrame:
     """Records with id and file name of the document that they came from."""
     source = documents.select(F.col("document_id").alias("source_document_id"), F.struct(F.col("document_id").alias("id"), "file_name").alias("source_document"))
     return records.join(source, "source_document_id")
+
+
+def filtered_listing(table: DataFrame, status: str | None = None, doc_type: str | None = None, page: int = 1, limit: int = 20, created: str = "created_at", key: str = "document_id") -> DataFrame:
+    """A page of the listing of what has that status and kind; None asks for all."""
+    for name, value in (("status", status), ("document_type", doc_type)):
+        table = table if value is None else table.where(F.col(name) == value)
+    return listing(table, created, key, (page - 1) * limit, limit)
+
+
+def nested(documents: DataFrame, children: dict[str, DataFrame], created: str = "created_at", key: str = "id", most: int = 10) -> DataFrame:
+    """Documents with an array of their newest children of each kind, newest first; an empty one if there are none."""
+    for name, rows in children.items():
+        columns = [c for c in rows.columns if c != "document_id"]
+        one = newest_children(rows, "document_id", created, key, most).groupBy("document_id")
+        got = one.agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", *columns))), lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias(name))
+        documents = documents.join(got, "document_id", "left").withColumn(name, F.coalesce(name, F.array().cast(got.schema[name].dataType)))
+    return documents
+
+
+def record_error(document_id: Column, status: Column, doc_type: Column) -> Column:
+    """Why no record can be made: 404 without a document, 425 before it is completed, 400 for a kind that has no record."""
+    return F.when(document_id.isNull(), 404).when(F.coalesce(status, F.lit("")) != "completed", 425).when(record_type(doc_type).isNull(), 400)

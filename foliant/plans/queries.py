@@ -717,3 +717,32 @@ def user_sessions(spark, sf_dir):
     """Extension: sessions end after 12 hours without an event."""
     out = R.table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "12 hours")).agg(F.min("ts").alias("session_start"), F.count("*").alias("events"))
     return out.select("user_id", "session_start", "events")
+
+
+@query(f"SELECT document_id, status, created_at FROM ({R.DOCUMENTS}) WHERE status = 'completed' AND document_type = 'contract' ORDER BY created_at DESC, document_id LIMIT 10 OFFSET 20")
+def doc_list_filtered(spark, sf_dir):
+    return relational.filtered_listing(stored(spark, sf_dir), "completed", "contract", 3, 10).select("document_id", "status", "created_at")
+
+
+@query(f"SELECT document_id, CASE WHEN status <> 'completed' THEN 425 WHEN document_type = 'invoice' THEN 400 END AS error FROM ({R.DOCUMENTS})")
+def record_errors(spark, sf_dir):
+    kind = F.when(F.col("document_type") == "invoice", "unknown").otherwise("id_card")
+    return stored(spark, sf_dir).select("document_id", relational.record_error(F.col("document_id"), F.col("status"), kind).alias("error"))
+
+
+@query("SELECT conv_id AS page_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5, round(avg(CAST(turn % 5 AS DOUBLE) / 4), 6) AS confidence FROM conversations GROUP BY conv_id")
+def line_results(spark, sf_dir):
+    lines = R.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("ord"), "text", ((F.col("turn") % 5).cast("double") / 4).alias("confidence"))
+    return fusion.line_results(lines).select("page_id", F.md5("text").alias("text_md5"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT user_id, list(event_id ORDER BY ts DESC, event_id) [:10] AS events FROM events GROUP BY user_id")
+def nested_children(spark, sf_dir):
+    e = R.table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    return relational.nested(e.select("document_id").distinct(), {"events": e}).select(F.col("document_id").alias("user_id"), F.transform("events", lambda x: x["id"]).alias("events"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (value > 50 AND event_type <> 'error') AS compressed, count(*) FILTER (value <= 50 AND event_type <> 'error') AS skipped, count(*) FILTER (event_type = 'error') AS failed, round(sum(value - value / 2) FILTER (value > 50 AND event_type <> 'error'), 4) AS space_saved FROM events")
+def compression_totals(spark, sf_dir):
+    e = R.table(spark, sf_dir, "events").select(F.col("value").alias("length"), (F.col("value") / 2).alias("new_length"), F.when(F.col("event_type") == "error", "broken").alias("error"))
+    return imaging.compression_totals(e, 50).withColumn("space_saved", F.round("space_saved", 4))

@@ -176,3 +176,45 @@ def test_stream_of_files(spark, tmp_path):
         lifecycle.run_stream(stream, work, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {r.document_id: (r.status, r.error_message) for r in lifecycle.latest_states(spark, str(tmp_path / "out")).collect()}
     assert got == {"a.txt": ("completed", None), "b.txt": ("failed", "too short")}
+
+
+def test_lines_and_valid_results(spark):
+    lines = spark.createDataFrame([(1, 2, "b", 0.4), (1, 1, "a", 0.8)], "page_id int, ord int, text string, confidence double")
+    assert tuple(fusion.line_results(lines).first()) == (1, "a\nb", pytest.approx(0.6))
+    results = spark.createDataFrame([(1, 0, "x", 0.9, None), (1, 1, "yy", 0.95, "failed"), (2, 0, "z", 1.0, "failed")], ENGINES + ", error string")
+    pages_ = spark.createDataFrame([(1,), (2,)], "page_id int")
+    assert sorted(map(tuple, fusion.fuse_valid(pages_, results, "best").collect())) == [(1, "x", 0.9), (2, "", 0.0)]
+
+
+def test_nested_and_records(spark):
+    d = spark.createDataFrame([("a", "completed"), ("b", "failed")], "document_id string, status string")
+    c = spark.createDataFrame([(str(i), "a", i) for i in range(12)], "id string, document_id string, created_at int")
+    got = {r.document_id: [x.id for x in r.chats] for r in relational.nested(d, {"chats": c}).collect()}
+    assert got == {"a": [str(i) for i in range(11, 1, -1)], "b": []}
+    s = spark.createDataFrame([(None, None, None), ("a", "failed", "id_card"), ("a", "completed", "unknown"), ("a", "completed", "id_card")], "d string, s string, t string")
+    assert [r[0] for r in s.select(relational.record_error(*map(F.col, "dst"))).collect()] == [404, 425, 400, None]
+
+
+def test_model_steps(spark):
+    with pytest.raises(ValueError):
+        models.provider_options("other", "k")
+    with pytest.raises(ValueError):
+        models.provider_options("openai", None)
+    assert models.provider_options("openai", "k")["model"] == "gpt-4o"
+    a = spark.createDataFrame([('{"doc_type": "id_card", "confidence": "140"}',), ("?",)], "t string").select(models.parse_classification(F.col("t")).alias("c")).collect()
+    assert [(r.c.doc_type, r.c.confidence) for r in a] == [("id_card", 100.0), ("unknown", 0.0)]
+    df = spark.createDataFrame([("地號：O221-0000 \n所有權人：甲乙",), ("none",)], "text string")
+    fixed = {r.corrected for r in models.correct_fields(df, lambda p: [("0221-0000" if "221" in x else x, 1, 2, None) for x in p]).collect()}
+    assert fixed == {"地號：0221-0000 \n所有權人：甲乙", "none"}
+    n = models.stats(models.ask(df, "text", models.offline), "openai", "gpt-4o").first()
+    assert n.llm_calls == 2 and n.tokens_used > 0 and n.estimated_cost > 0
+
+
+def test_image_files():
+    image = np.arange(300, dtype=np.uint8).reshape(10, 10, 3)
+    assert imaging.png(image)[:4] == b"\x89PNG"
+    tried = []
+    encode = lambda x, q: (tried.append((x.shape[0], q)), bytes(x.size * q // 10))[1]
+    assert len(imaging.compress_to_limit(image, 1200, encode)) <= 1200 and tried[0] == (10, 95) and tried[5][0] == 9
+    assert imaging.smart_save(image, encode)[1] == "png" and imaging.smart_save(image, encode, 10)[1] == "jpg"
+    assert imaging.at_least(image, 20).shape == (20, 20, 3) and imaging.enhance(image, 20).shape == (20, 20)
