@@ -1,26 +1,31 @@
 """Cutting texts into chunks whose encodings join to the encoding of the whole text.
 
 The published split pattern never puts a boundary elsewhere than before a
-single space that stands between two non-blank characters, if only such
-spaces are looked at; so a text is cut there, and what a chunk encodes to can be
-remembered for all texts.
+single space, or around a single line end, that stands between two non-blank
+characters, if only such are looked at; so a text is cut there, and what a chunk
+encodes to can be remembered for all texts.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 
+from foliant.llm.common import keep_in_worker
+
+SIGNS = ".,!?;:"
 _UNSAFE = re.compile(r"\s\s|\A\s|\s\Z")
 
 
 def chunks(text: str) -> list[str]:
-    """Parts that joined by " " give the text; each part after the first starts a new piece at that space."""
-    parts = text.split(" ")
+    """Parts that give the text; a new piece starts at each of them. Before each but the first and those that begin with a line end stands a space."""
     if not _UNSAFE.search(text):
-        return parts
+        return text.replace("\n", " \n").split(" ")
+    parts = text.split(" ")
     out: list[list[str]] = [[parts[0]]]
     for p in parts[1:]:
         before = out[-1][-1]
@@ -55,9 +60,14 @@ class Remembered(dict):
 
 
 class LibraryEncoder:
-    """Token ids by the tokenizers library; a chunk seen before is not encoded again."""
+    """Token ids by the tokenizers library; a word seen before is not encoded again.
 
-    def __init__(self, path: str, most: int = 300_000):
+    Words are numbered, and their ids lie one behind the other in one array, so
+    that a batch of texts costs one look-up for each word and array work.
+    """
+
+    def __init__(self, path: str, most: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already; idle threads of the library would only spin
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -66,37 +76,120 @@ class LibraryEncoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)  # one character for each byte in this alphabet
-        self.lead: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.batch = most, 0
+        self.sign = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in SIGNS}
+        self._start_over()
+
+    def _start_over(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.start, self.size, self.used = (np.zeros(1 << 16, dtype=np.int64) for _ in range(3))
+        self.filled = 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: list[str]) -> None:
-        """Encode many chunks as one text, and cut its ids where the chunks' bytes end."""
-        ids = self.whole(["".join(" " + c for c in missing)])[0]
-        ends = np.cumsum(self.width[ids])
-        cut = np.searchsorted(ends, np.cumsum([1 + len(c.encode()) for c in missing])) + 1
-        raw, at = ids.astype("<u4").tobytes(), 0
-        for c, to in zip(missing, cut.tolist(), strict=True):
-            self.lead[c] = raw[4 * at : 4 * to]
-            at = to
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.lead) > self.most:
-            self.lead.clear()
-        cut = [chunks(t) for t in texts]
-        first = self.whole([c[0] for c in cut])
-        missing = {p for c in cut for p in c[1:] if p not in self.lead}
-        odd = [p for p in missing if p[-1].isspace()]
-        if plain := [p for p in missing if not p[-1].isspace()]:
-            self._learn(plain)
-        for p, ids in zip(odd, self.whole([" " + p for p in odd]), strict=True):
-            self.lead[p] = ids.astype("<u4").tobytes()
-        return [b"".join([f.astype("<u4").tobytes(), *map(self.lead.__getitem__, c[1:])]) for f, c in zip(first, cut, strict=True)]
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _put(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Lay ids behind those that are kept; what is put stays only if words are counted for it."""
+        n, k = len(self.number), len(sizes)
+        for name, more in (("start", n + k), ("size", n + k), ("used", n + k), ("ids", self.filled + len(ids))):
+            if more > len(old := getattr(self, name)):
+                setattr(self, name, np.concatenate((old, np.zeros(max(more, 2 * len(old)) - len(old), old.dtype))))
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.size[n : n + k] = sizes
+        self.start[n : n + k] = self.filled + np.cumsum(sizes) - sizes
+        return n
+
+    def _store(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = self._put(ids, sizes)
+        self.number.update(zip(words, range(n, n + len(words))))
+        self.filled += len(ids)
+
+    def _forget(self) -> None:
+        """Keep the words of the latest batches only."""
+        recent = [(w, i) for w, i in self.number.items() if self.used[i] > self.batch - 4]
+        at = np.array([i for _, i in recent], dtype=np.int64)
+        ids, sizes = self._gather(at), self.size[at]
+        used = self.used[at]
+        self._start_over()
+        self._store([w for w, _ in recent], ids, sizes)
+        self.used[: len(used)] = used
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        size = self.size[at]
+        end = np.cumsum(size)
+        return self.ids[np.repeat(self.start[at] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode many words as one text, and cut its ids where the words' bytes begin."""
+        text = "".join([w if w[0] == "\n" else " " + w for w in words]).encode()
+        ids = self.whole([text.decode()])[0]
+        raw = np.frombuffer(text, dtype=np.uint8)
+        begins = np.flatnonzero((raw == 32) | (raw == 10))
+        cut = np.searchsorted(np.cumsum(self.width[ids]) - self.width[ids], begins)
+        self._store(words, ids, np.diff(np.append(cut, len(ids))))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids end)."""
+        self.batch += 1
+        if len(self.number) > self.most:
+            self._forget()
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
+        flat = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.number.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        missing = np.flatnonzero(at < 0).tolist()
+        words = dict.fromkeys([flat[i] for i in missing])
+        bad = {w for w in words if not self._plain(w)}
+        if bad:  # blanks beside each other, or at an end: such texts are cut with more care
+            odd: dict[str, None] = {}
+            for i, c in enumerate(cut):
+                if not bad.isdisjoint(c):
+                    cut[i] = chunks(texts[i])
+                    odd |= dict.fromkeys(cut[i][1:])
+            odd = [w for w in odd if w not in self.number]
+            self._add([w for w in words if w not in bad], odd)
+            flat = list(chain.from_iterable(cut))
+            at = np.fromiter(map(self.number.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        else:
+            self._add(list(words), [])
+            at[missing] = np.fromiter(map(self.number.__getitem__, [flat[i] for i in missing]), dtype=np.int64, count=len(missing))
+        words_of = np.array([len(c) for c in cut])
+        first = np.cumsum(words_of) - words_of
+        at[first] = self._extra([c[0] for c in cut])
+        known = at < len(self.number)
+        self.used[at[known]] = self.batch
+        ids = self._gather(at)
+        return ids, np.cumsum(np.add.reduceat(self.size[at], first))
+
+    @staticmethod
+    def _plain(w: str) -> bool:
+        return bool(w) and not w[-1].isspace() and (not w[0].isspace() or w[0] == "\n" and not w[1].isspace())
+
+    def _add(self, plain: list[str], odd: list[str]) -> None:
+        """Learn words; a sign at the end, behind a letter or digit, is a piece of its own and takes the word's rest as known."""
+        ended = [w for w in plain if w[-1] in SIGNS and w[-2:-1].isalnum()]
+        if ended:
+            rests = dict.fromkeys([w[:-1] for w in ended])
+            plain = list(dict.fromkeys([w for w in plain if not (w[-1] in SIGNS and w[-2:-1].isalnum())] + [r for r in rests if r not in self.number]))
+        for i in range(0, len(plain), 50_000):
+            self._learn(plain[i : i + 50_000])
+        if ended:
+            at = np.fromiter([self.number[w[:-1]] for w in ended], dtype=np.int64, count=len(ended))
+            signs = np.array([self.sign[w[-1]] for w in ended], dtype="<u4")
+            self._store(ended, np.insert(self._gather(at), np.cumsum(self.size[at]), signs), self.size[at] + 1)
+        odd = [w for w in odd if w not in self.number]
+        if odd:
+            got = self.whole([w if w[0] == "\n" else " " + w for w in odd])
+            self._store(odd, np.concatenate(got), np.array([len(g) for g in got]))
+
+    def _extra(self, firsts: list[str]) -> np.ndarray:
+        """Numbers behind those of the words, valid for this batch: the texts' first words have no blank before them."""
+        got = self.whole(firsts)
+        n = self._put(np.concatenate(got) if got else np.zeros(0, "<u4"), np.array([len(g) for g in got], dtype=np.int64))
+        return np.arange(n, n + len(got))
 
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
+    keep_in_worker("library", library_encoder.cache_clear)
     return LibraryEncoder(path)

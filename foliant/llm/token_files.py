@@ -45,14 +45,20 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     where = np.arange(n, dtype=np.int64)
     left = np.minimum((where // block + 1) * block, n) - where
     best = np.ones(n, dtype=np.int64)
-    for count, bits in sorted(zip(COUNTS[1:], BITS[1:])):
-        if count == 1:
+    fits = None  # where the ids were narrow enough so far; narrower widths can only fit there
+    for count, bits in sorted(zip(COUNTS[1:], BITS[1:]))[1:]:
+        limit = np.uint64(1 << bits)
+        if fits is None and n and ids.max() < limit:
+            best[left >= count] = count
             continue
-        wide = ids >= np.uint64(1 << bits)
-        if count > 8 and not wide.size - np.count_nonzero(wide) >= count:
-            continue
-        seen = np.concatenate(([0], np.cumsum(wide)))
-        fits = np.flatnonzero((seen[count:] == seen[:-count]) & (left[: max(0, n - count + 1)] >= count))
+        if fits is None or len(fits) * count > 4 * n:
+            seen = np.concatenate(([0], np.cumsum(ids >= limit, dtype=np.int32)))
+            fits = np.flatnonzero(seen[count:] == seen[:-count])
+        else:
+            fits = fits[fits <= n - count]
+            for k in range(count):
+                fits = fits[ids[fits + k] < limit]
+        fits = fits[left[fits] >= count]
         best[fits] = count
     steps, starts, i = best.tolist(), [], 0
     while i < n:
@@ -163,14 +169,20 @@ def write_documents(docs: DataFrame, tokenizer: str, end_id: int, uri: str, text
         encoder, writer = library_encoder(tokenizer), ShardWriter(uri, TaskContext.get().partitionId(), most)
         for batch in batches:
             out = []
-            for i, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
-                out.append(writer.add(i, np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(end_id))))
+            if not batch.num_rows:
+                continue
+            ids, ends = encoder.encode(batch.column("text").to_pylist())
+            ids, ends = np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
+            begin = 0
+            for i, end in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                out.append(writer.add(i, ids[begin:end]))
+                begin = end
             if done := [x for x in out if x]:
                 yield {k: [x[k] for x in done] for k in done[0]}
         if x := writer.flush():
             yield {k: [v] for k, v in x.items()}
 
-    return stage(arrow_map(placed, work, MANIFEST), "token-manifest")
+    return stage(arrow_map(placed, work, MANIFEST, keeps="library"), "token-manifest")
 
 
 def read_file(uri: str, name: str):
