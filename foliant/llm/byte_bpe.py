@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from foliant.llm.common import arrow_map, bounded_batches, keep_in_worker
-from foliant.llm.pieces import Remembered, chunks, pattern
+from foliant.llm.pieces import SIGNS, Remembered, chunks, pattern
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,7 +34,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class PrefixEncoder:
     """Encodes one piece (a match of the split pattern) at a time, as repeated lowest-rank merging would."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 300_000):
         self.ranks = ranks
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -78,7 +78,7 @@ class PrefixEncoder:
 
     def _pair(self, a: int, b: int) -> bool:
         """Whether the boundary between two tokens survives: no merge across it comes before those that end both edges."""
-        if len(self.follows) >= 4 * self.most:
+        if len(self.follows) >= 2 * self.most:
             self.follows.clear()
         get, ok = self.ranks.get, True
         for x, from_x, until_x in self.right[a]:
@@ -97,7 +97,7 @@ class PrefixEncoder:
             if i <= 32 and (t := known.get(piece[:i])) is not None:
                 last.append(t)
                 continue
-            for j in range(i - longest if i > longest else 0, i):
+            for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):
                 if (t := get(piece[j:i])) is None:
                     continue
                 if not j:
@@ -160,12 +160,23 @@ class TextEncoder:
     def __init__(self, path: str, published: str):
         self.pieces = PrefixEncoder(read_ranks(path))
         self.split = pattern(published).findall
-        self.by_piece = Remembered(lambda p: pack_ids(self.pieces.encode(p.encode())), most=500_000)
+        self.by_piece = Remembered(lambda p: pack_ids(self.pieces.encode(p.encode())), most=100_000)
         self.bare = Remembered(self._chunk, most=50_000)
-        self.lead = Remembered(lambda c: self._chunk(" " + c), most=500_000)
+        self.lead = Remembered(self._word, most=500_000)
+
+    def _word(self, word: str) -> bytes:
+        """A word behind a space (or beginning with a line end); letters alone, or with a sign behind them, need no search for pieces."""
+        if word.isalpha():
+            return pack_ids(self.pieces.encode(b" " + word.encode()))
+        if word[-1:] in SIGNS and word[:-1].isalpha():
+            return self.lead[word[:-1]] + self.by_piece[word[-1]]
+        return self._chunk(word if word[:1] == "\n" else " " + word)
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.by_piece.__getitem__, self.split(chunk)))
+        parts = self.split(chunk)
+        if len(parts) == 1:
+            return pack_ids(self.pieces.encode(chunk.encode()))
+        return b"".join([self.lead[p[1:]] if p[0] == " " and p[1:2] not in ("", "\n") else self.by_piece[p] for p in parts])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
