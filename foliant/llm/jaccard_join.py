@@ -367,8 +367,8 @@ def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, tried: Data
             near = near[(component[near] != component[q]) & ((component[near] == common) | (node[near] < node[q]))]
             if key[1] != key[2]:
                 near = near[cut[near] != cut[q]]
-            out["a"] += np.minimum(node[near], node[q]).tolist()
-            out["b"] += np.maximum(node[near], node[q]).tolist()
+            out["a"] += [int(node[q])] * len(near)  # it leads: it may have many candidates, and each of these few such leaders
+            out["b"] += node[near].tolist()
         return out
 
     def work(batches):
@@ -383,7 +383,8 @@ def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, tried: Data
         if held:
             yield found(now, held)
 
-    return arrow_map(member, work, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    pairs, done = arrow_map(member, work, "a long, b long").distinct().alias("p"), tried.alias("t")  # leaders of lists are their smallest classes
+    return pairs.join(done, (F.least("p.a", "p.b") == F.col("t.a")) & (F.greatest("p.a", "p.b") == F.col("t.b")), "left_anti")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: Fraction = Fraction(3, 4), text: str = "text", doc_id: str = "doc_id", links: bool = False) -> DataFrame:
