@@ -15,7 +15,7 @@ from foliant.llm.common import held_out, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document of which no language wrote this share of its words is rejected, like one without letters.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
