@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.sources.tables import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 _NL = " || chr(10) || "
@@ -86,7 +88,7 @@ USAGE_SPARK, USAGE_ORACLE = USAGE.format(json="get_json_object"), USAGE.format(j
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def render(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

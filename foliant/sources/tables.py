@@ -29,3 +29,9 @@ def append(df: DataFrame, root: str, name: str) -> None:
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, such as one small file, dealt to all of them; larger ones are left as they are, without a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
