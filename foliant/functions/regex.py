@@ -28,10 +28,10 @@ def first(text: Column, pattern: str, groups: int = 1) -> Column:
     """The first match's group, stripped; several groups are joined by a blank as they are; null without a match. groups 0: the whole match."""
     if groups > 1:
         got = F.concat_ws(" ", *[F.regexp_extract(text, FLAGS + pattern, i + 1) for i in range(groups)])
-    else:
-        got = F.regexp_extract(text, FLAGS + pattern, groups)
-        got = strip(got) if groups else got
-    return F.when(matches(text, pattern), got)
+        return F.when(matches(text, pattern), got)
+    # the match is looked for once: no match gives an empty string, and no pattern has a match or group that is empty
+    raw = F.array(F.regexp_extract(text, FLAGS + pattern, groups))
+    return F.get(F.transform(raw, lambda r: F.when(r != "", strip(r) if groups else r)), F.lit(0))
 
 
 def occurrences(text: Column, part: str) -> Column:
