@@ -11,13 +11,14 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain, repeat
 
 import numpy as np
 
 from foliant.llm.common import keep_in_worker
+from foliant.llm.shingles import mixed, powers
 
 SIGNS = ".,!?;:"
+_GROUP = 1 << 20
 _UNSAFE = re.compile(r"\s\s|\A\s|\s\Z")
 
 
@@ -59,14 +60,57 @@ class Remembered(dict):
         return got
 
 
+class WordTable:
+    """Numbers of words by a 64-bit key and a second mark (length and last bytes); open addressing, whole arrays at a time."""
+
+    def __init__(self, bits: int = 21):
+        self.shift, self.mask, self.n = np.uint64(64 - bits), (1 << bits) - 1, 0
+        self.keys, self.marks = (np.zeros(1 << bits, dtype=np.uint64) for _ in range(2))
+        self.number = np.zeros(1 << bits, dtype=np.int32)
+
+    def find(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Numbers, -1 for words that aren't there. Keys are not 0."""
+        slot = (keys >> self.shift).astype(np.int64)
+        got = self.keys[slot]
+        out = np.where((got == keys) & (self.marks[slot] == marks), self.number[slot], -1)
+        rest = np.flatnonzero((out < 0) & (got != 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & self.mask
+            at = slot[rest]
+            got = self.keys[at]
+            hit = (got == keys[rest]) & (self.marks[at] == marks[rest])
+            out[rest[hit]] = self.number[at[hit]]
+            rest = rest[~hit & (got != 0)]
+        return out
+
+    def add(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Give numbers, in order, to words that are not there and differ."""
+        numbers = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.n += len(keys)
+        slot, rest = (keys >> self.shift).astype(np.int64), np.arange(len(keys))
+        while len(rest):
+            at = slot[rest]
+            free = self.keys[at] == 0
+            mine = rest[free]
+            self.number[slot[mine]] = numbers[mine]  # of several for one slot the last stays
+            won = mine[self.number[slot[mine]] == numbers[mine]]
+            self.keys[slot[won]], self.marks[slot[won]] = keys[won], marks[won]
+            lost = np.ones(len(keys), dtype=bool)
+            lost[won] = False
+            rest = rest[lost[rest]]
+            slot[rest] = (slot[rest] + 1) & self.mask
+        return numbers
+
+
 class LibraryEncoder:
     """Token ids by the tokenizers library; a word seen before is not encoded again.
 
-    Words are numbered, and their ids lie one behind the other in one array, so
-    that a batch of texts costs one look-up for each word and array work.
+    Texts are cut into words by whole arrays of bytes; words are numbered, and
+    their ids lie one behind the other in one array. Texts with blanks beside
+    each other or at an end, or with rarer blanks, go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already; idle threads of the library would only spin
         from tokenizers import Tokenizer
 
@@ -76,117 +120,132 @@ class LibraryEncoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)  # one character for each byte in this alphabet
-        self.most, self.batch = most, 0
-        self.sign = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in SIGNS}
+        self.most = most
+        self.byte = mixed(np.arange(1, 257, dtype=np.uint64))
+        self.odd, self.sign, self.alnum = (np.zeros(256, dtype=bool) for _ in range(3))
+        self.odd[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True  # other blanks, or what begins their bytes
+        self.sign[list(SIGNS.encode())] = True
+        self.alnum[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+        self.sign_number = np.zeros(256, dtype=np.int64)
         self._start_over()
 
     def _start_over(self) -> None:
-        self.number: dict[str, int] = {}
+        self.table = WordTable()
         self.ids = np.zeros(1 << 16, dtype="<u4")
-        self.start, self.size, self.used = (np.zeros(1 << 16, dtype=np.int64) for _ in range(3))
+        self.start, self.size = (np.zeros(1 << 16, dtype=np.int64) for _ in range(2))
         self.filled = 0
+        for c in SIGNS:  # signs are the first entries, without keys
+            self.sign_number[ord(c)] = self.table.n
+            got = self.whole([c])[0]
+            self._store(got, np.array([len(got)]), self.table.n)
+            self.table.n += 1
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _put(self, ids: np.ndarray, sizes: np.ndarray) -> int:
-        """Lay ids behind those that are kept; what is put stays only if words are counted for it."""
-        n, k = len(self.number), len(sizes)
-        for name, more in (("start", n + k), ("size", n + k), ("used", n + k), ("ids", self.filled + len(ids))):
+    def _store(self, ids: np.ndarray, sizes: np.ndarray, n: int) -> None:
+        k = len(sizes)
+        for name, more in (("start", n + k), ("size", n + k), ("ids", self.filled + len(ids))):
             if more > len(old := getattr(self, name)):
                 setattr(self, name, np.concatenate((old, np.zeros(max(more, 2 * len(old)) - len(old), old.dtype))))
         self.ids[self.filled : self.filled + len(ids)] = ids
         self.size[n : n + k] = sizes
         self.start[n : n + k] = self.filled + np.cumsum(sizes) - sizes
-        return n
-
-    def _store(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = self._put(ids, sizes)
-        self.number.update(zip(words, range(n, n + len(words))))
         self.filled += len(ids)
 
-    def _forget(self) -> None:
-        """Keep the words of the latest batches only."""
-        recent = [(w, i) for w, i in self.number.items() if self.used[i] > self.batch - 4]
-        at = np.array([i for _, i in recent], dtype=np.int64)
-        ids, sizes = self._gather(at), self.size[at]
-        used = self.used[at]
-        self._start_over()
-        self._store([w for w, _ in recent], ids, sizes)
-        self.used[: len(used)] = used
-
     def _gather(self, at: np.ndarray) -> np.ndarray:
         size = self.size[at]
         end = np.cumsum(size)
         return self.ids[np.repeat(self.start[at] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode many words as one text, and cut its ids where the words' bytes begin."""
-        text = "".join([w if w[0] == "\n" else " " + w for w in words]).encode()
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words that each begin with a space or line end and hold no other: encoded as one text, which is cut where their bytes begin."""
+        text = "".join(words).encode()
         ids = self.whole([text.decode()])[0]
         raw = np.frombuffer(text, dtype=np.uint8)
         begins = np.flatnonzero((raw == 32) | (raw == 10))
         cut = np.searchsorted(np.cumsum(self.width[ids]) - self.width[ids], begins)
-        self._store(words, ids, np.diff(np.append(cut, len(ids))))
+        return ids, np.diff(np.append(cut, len(ids)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids end)."""
-        self.batch += 1
-        if len(self.number) > self.most:
-            self._forget()
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        flat = list(chain.from_iterable(cut))
-        at = np.fromiter(map(self.number.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-        missing = np.flatnonzero(at < 0).tolist()
-        words = dict.fromkeys([flat[i] for i in missing])
-        bad = {w for w in words if not self._plain(w)}
-        if bad:  # blanks beside each other, or at an end: such texts are cut with more care
-            odd: dict[str, None] = {}
-            for i, c in enumerate(cut):
-                if not bad.isdisjoint(c):
-                    cut[i] = chunks(texts[i])
-                    odd |= dict.fromkeys(cut[i][1:])
-            odd = [w for w in odd if w not in self.number]
-            self._add([w for w in words if w not in bad], odd)
-            flat = list(chain.from_iterable(cut))
-            at = np.fromiter(map(self.number.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-        else:
-            self._add(list(words), [])
-            at[missing] = np.fromiter(map(self.number.__getitem__, [flat[i] for i in missing]), dtype=np.int64, count=len(missing))
-        words_of = np.array([len(c) for c in cut])
-        first = np.cumsum(words_of) - words_of
-        at[first] = self._extra([c[0] for c in cut])
-        known = at < len(self.number)
-        self.used[at[known]] = self.batch
-        ids = self._gather(at)
-        return ids, np.cumsum(np.add.reduceat(self.size[at], first))
-
-    @staticmethod
-    def _plain(w: str) -> bool:
-        return bool(w) and not w[-1].isspace() and (not w[0].isspace() or w[0] == "\n" and not w[1].isspace())
-
-    def _add(self, plain: list[str], odd: list[str]) -> None:
-        """Learn words; a sign at the end, behind a letter or digit, is a piece of its own and takes the word's rest as known."""
-        ended = [w for w in plain if w[-1] in SIGNS and w[-2:-1].isalnum()]
-        if ended:
-            rests = dict.fromkeys([w[:-1] for w in ended])
-            plain = list(dict.fromkeys([w for w in plain if not (w[-1] in SIGNS and w[-2:-1].isalnum())] + [r for r in rests if r not in self.number]))
-        for i in range(0, len(plain), 50_000):
-            self._learn(plain[i : i + 50_000])
-        if ended:
-            at = np.fromiter([self.number[w[:-1]] for w in ended], dtype=np.int64, count=len(ended))
-            signs = np.array([self.sign[w[-1]] for w in ended], dtype="<u4")
-            self._store(ended, np.insert(self._gather(at), np.cumsum(self.size[at]), signs), self.size[at] + 1)
-        odd = [w for w in odd if w not in self.number]
-        if odd:
-            got = self.whole([w if w[0] == "\n" else " " + w for w in odd])
-            self._store(odd, np.concatenate(got), np.array([len(g) for g in got]))
-
-    def _extra(self, firsts: list[str]) -> np.ndarray:
-        """Numbers behind those of the words, valid for this batch: the texts' first words have no blank before them."""
-        got = self.whole(firsts)
-        n = self._put(np.concatenate(got) if got else np.zeros(0, "<u4"), np.array([len(g) for g in got], dtype=np.int64))
-        return np.arange(n, n + len(got))
+        raws, out, i = [t.encode() for t in texts], [], 0
+        while i < len(raws):  # groups of about 1 MB
+            j, size = i, 0
+            while j < len(raws) and (j == i or size + len(raws[j]) < _GROUP):
+                size += len(raws[j]) + 1
+                j += 1
+            out += self._group(texts[i:j], raws[i:j])
+            i = j
+        ends = np.cumsum([len(x) for x in out]) if out else np.zeros(0, np.int64)
+        return np.concatenate(out) if out else np.zeros(0, "<u4"), ends
+
+    def _group(self, texts: list[str], raws: list[bytes]) -> list[np.ndarray]:
+        raw = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
+        if len(raw) > 2 * _GROUP:
+            return self.whole(texts)
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        blank = np.flatnonzero((raw == 32) | (raw == 10))
+        beside = blank[1:][np.diff(blank) == 1]
+        wrong = np.concatenate((np.flatnonzero(self.odd[raw]), beside, blank[:1][blank[:1] == 0]))
+        if len(wrong):  # a blank at a text's end stands beside the one that was put between texts; that of the next text's beginning belongs to both
+            bad = np.zeros(len(texts), dtype=bool)
+            bad[np.searchsorted(ends, wrong, side="right")] = True
+            bad[np.searchsorted(ends, np.maximum(beside - 1, 0), side="right")] = True
+            fine = np.flatnonzero(~bad).tolist()
+            got = dict(zip(np.flatnonzero(bad).tolist(), self.whole([texts[k] for k in np.flatnonzero(bad)])))
+            if fine:
+                got |= zip(fine, self._group([texts[k] for k in fine], [raws[k] for k in fine]))
+            return [got[k] for k in range(len(texts))]
+        return self._plain(raw, blank, ends)
+
+    def _plain(self, raw: np.ndarray, blank: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        start, end = np.concatenate(([0], blank[:-1] + 1)), blank
+        last = np.searchsorted(end, ends - 1)  # each text's last word
+        first = np.concatenate(([0], last[:-1] + 1))
+        before = raw[start - 1].astype(np.uint64)  # a space or line end; at a text's start neither counts
+        before[first] = 0
+        signed = self.sign[raw[end - 1]] & (end - start > 1) & self.alnum[raw[end - 2]]
+        stop = end - signed
+        up, down = powers()
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.byte[raw] * up[: len(raw)], dtype=np.uint64)))
+        length = (stop - start).astype(np.uint64)
+        keys = mixed((sums[stop] - sums[start]) * down[start] + (length << np.uint64(8) | before)) | np.uint64(1)
+        marks = length << np.uint64(32)
+        for k in range(1, 4):
+            marks |= raw[stop - np.minimum(k, stop - start)].astype(np.uint64) << np.uint64(8 * k)
+        if self.table.n > self.most:
+            self._start_over()
+        at = self.table.find(keys, marks).astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            _, once = np.unique(keys[missing], return_index=True)
+            self._learn(raw, start, stop, before, keys, marks, missing[once])
+            at[missing] = self.table.find(keys[missing], marks[missing])
+        shift = np.cumsum(signed)
+        items = np.empty(len(at) + int(shift[-1]), dtype=np.int64)
+        items[np.arange(len(at)) + shift - signed] = at
+        behind = np.flatnonzero(signed)
+        items[behind + shift[behind]] = self.sign_number[raw[end[behind] - 1]]
+        total = np.concatenate(([0], np.cumsum(self.size[items])))
+        return np.split(self._gather(items), total[(last + shift[last] + 1)[:-1]])
+
+    def _learn(self, raw, start, stop, before, keys, marks, new: np.ndarray) -> None:
+        body = raw.tobytes()
+        kind = before[new]
+        for which, head in ((32, " "), (10, "\n"), (0, "")):
+            some = new[kind == which]
+            words = [head + body[i:j].decode() for i, j in zip(start[some].tolist(), stop[some].tolist())]
+            if not words:
+                continue
+            if head:
+                ids, sizes = self._encoded(words)
+            else:
+                got = self.whole(words)
+                ids, sizes = np.concatenate(got), np.array([len(g) for g in got])
+            n = self.table.n
+            self.table.add(keys[some], marks[some])
+            self._store(ids, sizes, n)
 
 
 @lru_cache(maxsize=2)

@@ -26,6 +26,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return tuple(_powers)
 
 
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for texts of 2 MB."""
+    return _tables()[:2]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
