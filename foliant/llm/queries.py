@@ -16,7 +16,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out()))
-    return langid.identify(docs, model, keep=["doc_id"]).withColumn("held_out", held_out())
+    found = langid.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("lang_shares").alias("n_languages"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
