@@ -13,6 +13,10 @@ Only where that leaves several components in a shingle's list are the pairs
 between these components compared, too. So thousands of near copies cost as
 many comparisons as there are copies, and no link between components is lost.
 
+Where the links themselves are wanted, all pairs within each component are
+searched by trees and verified: a link cannot leave its component, so none is
+lost. This costs the square of a component's size.
+
 Equal sets are one class; sets and classes are known by 64-bit fingerprints.
 
 Defined cases: a null text or one without words has an empty set and is alone
@@ -83,6 +87,24 @@ def points(bodies: list[bytes], units: list[int]) -> np.ndarray:
     return np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, GROUPS).astype(np.int64) * np.array(units, dtype=np.int64)[:, None]
 
 
+class Overlaps:
+    """How many shingles a set has in common with each of the sets, by lists of the sets that hold a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, self.owner = flat[order], owner[order]
+        self.bounds, self.n = group_bounds(flat), len(sets)
+        self.values = flat[self.bounds[:-1]]
+
+    def of(self, a: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.values, a), len(self.values) - 1)
+        at = at[self.values[at] == a]
+        size = self.bounds[at + 1] - self.bounds[at]
+        rows = np.arange(size.sum()) + np.repeat(self.bounds[at] - (np.cumsum(size) - size), size)
+        return np.bincount(self.owner[rows], minlength=self.n)
+
+
 def linked(a: np.ndarray, b: np.ndarray, share: Fraction) -> bool:
     """Whether the Jaccard similarity of two sorted sets is at least share."""
     if not len(a) or not len(b):
@@ -286,10 +308,9 @@ def _reachable(pairs: DataFrame, classes: DataFrame, share: Fraction) -> DataFra
     return stage(_by_leader(pairs, classes.select("class", "n", "point", "unit"), ["n", "point", "unit"], keep), "reachable")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, share: Fraction) -> DataFrame:
-    """The pairs (a, b) that are linked, by their whole sets. These are made again from the texts that are wanted; a filter of fixed size tells which."""
+def _whole_sets(wanted: DataFrame, docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(class, set) of the wanted classes at least. Sets are made again from the texts that are wanted; a filter of fixed size tells which."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     members = rows.groupBy("class").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("doc_id"))
     wanted = stage(wanted.join(members, "class").select("doc_id"), "wanted")
 
@@ -330,7 +351,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, sh
             found = [s for s in found if len(s)]
             yield {"class": [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in found], "set": [s.astype("<u8").tobytes() for s in found]}
 
-    sets = arrow_map(docs.select("text", hashed), again, "class long, set binary").groupBy("class").agg(F.first("set").alias("set"))
+    return arrow_map(docs.select("text", hashed), again, "class long, set binary").groupBy("class").agg(F.first("set").alias("set"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """The pairs (a, b) that are linked, by their whole sets."""
+    sets = _whole_sets(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), docs, rows, width)
 
     def keep(leader, held):
         a = np.frombuffer(leader[0], "<u8")
@@ -387,8 +413,59 @@ def _across(lists: DataFrame, labels: DataFrame, classes: DataFrame, tried: Data
     return pairs.join(done, (F.least("p.a", "p.b") == F.col("t.a")) & (F.greatest("p.a", "p.b") == F.col("t.b")), "left_anti")
 
 
+def _link_counts(named: DataFrame, docs: DataFrame, rows: DataFrame, width: int, share: Fraction, block: int = 500, shingles: int = 1 << 20) -> DataFrame:
+    """(class, linked): how many rows of other classes a class is linked with; classes without any may be missing.
+
+    named: class, component, n_class, n. A component of more than block classes
+    or of more shingles is cut, and each two of its cuts are searched and
+    verified by one task.
+    """
+    cuts = named.groupBy("component").agg(F.count("*").alias("size"), F.ceil(F.greatest(F.count("*") / block, F.sum("n") / shingles)).alias("cuts")).where("size > 1")
+    member = join_groups(named.select("class", "component", "n_class"), cuts, "component", "size", named.count())
+    member = stage(member.withColumn("cut", F.pmod(F.xxhash64("class"), "cuts")).drop("size"), "members")
+    sets = _whole_sets(member.select("class"), docs, rows, width)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))
+    paired = member.join(sets, "class").select("component", "class", "n_class", "set", "cut", other.alias("with")).withColumns({"i": F.least("cut", "with"), "j": F.greatest("cut", "with")})
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paired = paired.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j").select("component", "i", "j", "class", "n_class", "cut", "set")
+
+    def found(key, held):
+        names, weight, cut, sets = (list(x) for x in zip(*held))
+        sets, weight, cut = [np.frombuffer(s, "<u8") for s in sets], np.array(weight, dtype=np.int64), np.array(cut, dtype=np.int64)
+        asks, told = np.flatnonzero(cut == key[1]), np.flatnonzero(cut == key[2])
+        out = np.zeros(len(sets), dtype=np.int64)
+        if len(asks) and len(told):
+            made = [point_of(s) for s in sets]
+            corner, n = points([p for p, _ in made], [u for _, u in made]), np.array([len(s) for s in sets], dtype=np.int64)
+            tree, overlaps = CountVectorRTree(corner[told], n[told]), Overlaps([sets[i] for i in told.tolist()])
+            for q in asks.tolist():
+                near = tree.search(corner[q], int(n[q]), share)
+                near = near[told[near] != q]
+                if len(near):
+                    both = overlaps.of(sets[q])[near]
+                    near = told[near[both * share.denominator >= share.numerator * (n[q] + n[told[near]] - both)]]
+                    out[q] += weight[near].sum()
+                    if key[1] != key[2]:
+                        out[near] += weight[q]
+        return {"class": names, "linked": out}
+
+    def work(batches):
+        held, now = [], None
+        for batch in batches:
+            for key, *row in zip(zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j"))), *(batch.column(c).to_pylist() for c in ("class", "n_class", "cut", "set"))):
+                if key != now and held:
+                    yield found(now, held)
+                    held = []
+                now = key
+                held.append(row)
+        if held:
+            yield found(now, held)
+
+    return stage(arrow_map(paired, work, "class long, linked long").groupBy("class").agg(F.sum("linked").alias("linked")), "link-counts")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, share: Fraction = Fraction(3, 4), text: str = "text", doc_id: str = "doc_id", links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_class (rows with an equal set)."""
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_class (rows with an equal set); with links also n_links (other rows of that similarity at least, those with an equal set among them)."""
     spark = docs.sparkSession
     shared_dir(spark)
     bounded_batches(spark, 512)
@@ -410,13 +487,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: Fraction = Fraction(
         more = _verified(across, docs, full.select("class", "doc_id"), width, share)
         found = found.unionByName(more)
         labels = components(found)
-    groups = full.groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_class"))
+    groups = full.groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_class"), F.max("n").alias("size"))
     named = groups.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    known = stage(join_groups(named, least, "component", "n", named.count()).select("class", "component_id", "n_class"), "components")
+    known = join_groups(named, least, "component", "n", named.count()).select("class", "component_id", "n_class")
+    if links:
+        counts = _link_counts(stage(named.select("class", "component", "n_class", F.col("size").alias("n")), "named"), docs, full.select("class", "doc_id"), width, share)
+        known = known.join(counts, "class", "left").withColumn("n_links", F.col("n_class") - 1 + F.coalesce("linked", F.lit(0))).drop("linked")
+    known = stage(known, "components")
     out = join_groups(full.select("doc_id", "n", "class"), known, "class", "n_class", rows.count())
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").cast("long").alias("component_id"), F.lit(1).cast("long").alias("n_class"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component_id").cast("long").alias("component_id"), "n_class").unionByName(alone)
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").cast("long").alias("component_id"), F.lit(1).cast("long").alias("n_class"), F.lit(0).cast("long").alias("n_links"))
+    more = ["n_links"] if links else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component_id").cast("long").alias("component_id"), "n_class", *more).unionByName(alone.select("doc_id", "n_shingles", "component_id", "n_class", *more))
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: Fraction = Fraction(3, 4)) -> DataFrame:

@@ -39,7 +39,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"), links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op7_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

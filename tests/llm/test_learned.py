@@ -72,6 +72,43 @@ def test_jaccard_join_edges(spark):
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_links(spark):
+    rnd = random.Random(5)
+    rows = near_copies(20, rnd)
+    base = [f"b{i}" for i in range(100)]
+    for i in range(40):  # each text is near most others
+        t = list(base)
+        t[rnd.randrange(5, 95)] = f"x{i}"
+        rows.append((1000 + i, " ".join(t)))
+    rows += [(2000 + i, " ".join(f"c{k}" for k in range(4 * i, 4 * i + 60))) for i in range(30)]  # a chain: each is near its neighbours only
+    rows += [(rows[-1][0], rows[-1][1]), (None, rows[-2][1])]
+    sets = [shingle_tuples(t) for _, t in rows]
+    n = [0] * len(rows)
+    for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2):
+        both = len(a & b)
+        if both and 100 * both >= 75 * (len(a) + len(b) - both):
+            n[i], n[j] = n[i] + 1, n[j] + 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.near_duplicates(df, links=True)
+    assert sorted((r.doc_id or 0, r.n_shingles, r.n_links) for r in got.collect()) == sorted((d or 0, len(s), k) for (d, _), s, k in zip(rows, sets, n))
+    assert max(n) > 30 and jaccard_join.near_duplicates(df.limit(0), links=True).count() == 0
+
+
+@pytest.mark.parametrize("block", [2, 7])
+def test_link_counts_across_cuts(spark, block):
+    from fractions import Fraction
+
+    rows = [(i, " ".join(f"b{k}" if k != 7 * i else f"x{i}" for k in range(100))) for i in range(15)]
+    sets = [shingle_tuples(t) for _, t in rows]
+    want = [sum(4 * len(a & b) >= 3 * len(a | b) for b in sets) - 1 for a in sets]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = spark.sparkContext.broadcast(np.zeros(1 << jaccard_join.SLOTS, dtype=np.uint8))
+    full = jaccard_join._classes(docs, plain, 5, Fraction(3, 4))
+    named = full.select("class", F.lit(1).cast("long").alias("component"), F.lit(1).cast("long").alias("n_class"), "n")
+    counts = jaccard_join._link_counts(named, docs, full.select("class", "doc_id"), 5, Fraction(3, 4), block=block).join(full, "class")
+    assert [r.linked for r in counts.orderBy("doc_id").collect()] == want
+
+
 def test_tree_loses_nothing():
     rng = np.random.default_rng(0)
     from fractions import Fraction
