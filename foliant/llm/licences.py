@@ -7,6 +7,9 @@ that were kept apart, so that few unknown paragraphs pass. What is told is then
 compared with the family's notices: it is confirmed if it holds most of the
 n-grams of one of them.
 
+Paragraphs end at lines without a letter or digit. The lines of a paragraph are
+told each alone and all together: notices may be wrapped, or be one line of prose.
+
 Every n-gram with a weight holds a telling word, so paragraphs without such a
 word have the bias alone, which means unknown; they are not split into n-grams.
 
@@ -120,23 +123,38 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def paragraph_grams(paragraph: Column, longest: int = 3) -> Column:
-    """The distinct n-grams of a paragraph's lower-case words."""
-    words = F.filter(F.split(F.lower(paragraph), _GAP), lambda w: w != "")
-    last = F.size(words)
+def telling_grams(words: Column, longest: int = 3) -> Column:
+    """The distinct n-grams that hold a telling word. words: a column, not an expression, which each n-gram would work out again."""
+    at = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*TELLING), i)), lambda i: i.isNotNull())
 
     def of(n: int) -> Column:
-        got = F.transform(F.sequence(F.lit(1), last - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(last >= n, got).otherwise(F.array().cast("array<string>"))
+        first = F.filter(F.flatten(F.transform(at, lambda p: F.array(*[p - k for k in range(n)]))), lambda i: (i >= 0) & (i <= F.size(words) - n))
+        return F.transform(first, lambda i: F.array_join(F.array(*[F.get(words, i + k) for k in range(n)]), " "))
 
     return F.array_distinct(F.flatten(F.array(*[of(n) for n in range(1, longest + 1)])))
 
 
+#: Line ends around one line or more without a letter or digit.
+BETWEEN = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+
+
+def _units(text: Column) -> Column:
+    """(i, line, p) of the paragraphs with a telling word: each whole with null line and, if it has several lines, those of them with such a word."""
+
+    def of(p: Column, i: Column) -> Column:
+        lines = F.transform(F.split(p, "\n"), lambda x, k: F.struct(i.alias("i"), k.alias("line"), x.alias("p")))
+        whole = F.array(F.struct(i.alias("i"), F.lit(None).cast("int").alias("line"), F.translate(p, "\n", " ").alias("p")))
+        return F.when(~p.rlike(GATE), F.array().cast("array<struct<i:int,line:int,p:string>>")).when(F.size(lines) > 1, F.concat(whole, F.filter(lines, lambda x: x["p"].rlike(GATE)))).otherwise(whole)
+
+    return F.flatten(F.transform(F.split(text, BETWEEN), of))
+
+
 def scan(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", confirm: float = 0.6) -> DataFrame:
-    """(uid, doc_id, paragraph, body, family, probability, confirmed, told) of each paragraph with a telling word.
+    """(uid, doc_id, paragraph, line, body, family, probability, confirmed, told) of each paragraph with a telling word, line being null, and of each such line of those with several lines.
 
     A document without such a paragraph has one row with null paragraph. told:
-    the family if it is probable enough, else unknown. The weights, some
+    the family if it is probable enough, else unknown; where it holds more of the
+    notice of another, as of a shorter one with the same words, that other. The weights, some
     thousand rows whatever the input, are broadcast.
     """
     spark = docs.sparkSession
@@ -145,24 +163,38 @@ def scan(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_i
     templates = spark.createDataFrame(shown, "family string, k int, gram string, size double").groupBy("gram").agg(F.collect_list(F.struct("family", "k", "size")).alias("in"))
     table = weights.join(templates, "gram", "left")
     t = F.col("text")
-    gated = F.when(t.rlike(GATE), F.filter(F.transform(F.split(t, "\n"), lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: x["p"].rlike(GATE)))
+    gated = F.when(t.rlike(GATE), _units(t))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("uid")).select("uid", "doc_id", F.explode_outer(gated).alias("x"))
-    rows = rows.select("uid", "doc_id", F.col("x.i").alias("paragraph"), F.col("x.p").alias("body"))
-    grams = rows.withColumn("gram", F.explode_outer(paragraph_grams(F.col("body")))).join(F.broadcast(table), "gram", "left")
+    rows = rows.select("uid", "doc_id", F.col("x.i").alias("paragraph"), F.col("x.line").alias("line"), F.col("x.p").alias("body"))
+    grams = rows.withColumn("words", F.filter(F.split(F.lower("body"), _GAP), lambda w: w != "")).withColumn("gram", F.explode_outer(telling_grams(F.col("words")))).drop("words").join(F.broadcast(table), "gram", "left")
     sums = [F.coalesce(F.sum(F.col("w")[c]), F.lit(0.0)) + model.bias[c] for c in range(len(CLASSES))]
-    scored = grams.groupBy("uid", "doc_id", "paragraph").agg(F.first("body").alias("body"), F.array(*sums).alias("z"), F.flatten(F.collect_list("in")).alias("in"))
+    scored = grams.groupBy("uid", "doc_id", "paragraph", "line").agg(F.first("body").alias("body"), F.array(*sums).alias("z"), F.flatten(F.collect_list("in")).alias("in"))
     best = F.array_max(F.transform("z", lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))))
     scored = scored.withColumn("best", best).withColumn("family", F.element_at(F.array(*map(F.lit, CLASSES)), 1 - F.col("best.i")))
     probability = 1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("best.v")))
-    own = F.filter("in", lambda x: x["family"] == F.col("family"))
-    share = F.array_max(F.transform(F.array_distinct(own), lambda x: F.size(F.filter(own, lambda y: y["k"] == x["k"])) / x["size"]))
-    scored = scored.withColumns({"probability": probability, "confirmed": F.coalesce(share >= confirm, F.lit(False))})
-    told = F.when((F.col("family") != "unknown") & (F.col("probability") >= model.least), F.col("family")).otherwise("unknown")
-    return scored.select("uid", "doc_id", "paragraph", "body", "family", "probability", "confirmed", told.alias("told"))
+    held = F.transform(F.array_distinct("in"), lambda x: F.struct((F.size(F.filter("in", lambda y: (y["family"] == x["family"]) & (y["k"] == x["k"]))) / x["size"]).alias("share"), x["family"].alias("family")))
+    scored = scored.withColumn("probability", probability).withColumn("held", held).withColumn("top", F.array_max("held"))
+    share = F.array_max(F.transform(F.filter("held", lambda x: x["family"] == F.col("family")), lambda x: x["share"]))
+    other = F.coalesce((F.col("top.share") >= confirm) & (F.col("top.share") > F.coalesce(share, F.lit(0.0))), F.lit(False))
+    told = F.when((F.col("family") != "unknown") & (F.col("probability") >= model.least), F.when(other, F.col("top.family")).otherwise(F.col("family"))).otherwise("unknown")
+    scored = scored.withColumn("told", told).withColumn("confirmed", F.coalesce(share >= confirm, F.lit(False)) | (other & (F.col("told") != "unknown")))
+    return scored.select("uid", "doc_id", "paragraph", "line", "body", "family", "probability", "confirmed", "told")
 
 
 def by_document(scanned: DataFrame) -> DataFrame:
-    """One row a document: doc_id, licences (told and confirmed, sorted), n_found, n_unconfirmed, n_unknown, best_probability."""
+    """One row a document: doc_id, licences (told and confirmed, sorted), n_found, n_unconfirmed, n_unknown, best_probability.
+
+    A paragraph counts as a whole if that finds a family that none of its lines
+    does; of its lines then only those count that find one. Otherwise its lines do.
+    """
+    own = F.collect_list(F.struct("line", "told", "confirmed", "probability"))
+    hit = lambda x: (x["told"] != "unknown") & x["confirmed"]
+    units = scanned.groupBy("uid", "doc_id", "paragraph").agg(own.alias("units"))
+    lines, whole = F.filter("units", lambda x: x["line"].isNotNull()), F.filter("units", lambda x: x["line"].isNull())
+    hits = F.filter(lines, hit)
+    more = F.filter(whole, lambda x: hit(x) & ~F.array_contains(F.transform(hits, lambda y: y["told"]), x["told"]))
+    counted = F.when(F.size(lines) == 0, whole).when(F.size(more) > 0, F.concat(more, hits)).otherwise(lines)
+    scanned = units.select("uid", "doc_id", "paragraph", F.inline(counted))
     found = (F.col("told") != "unknown") & F.col("confirmed")
     loose = (F.col("told") != "unknown") & ~F.col("confirmed")
     return scanned.groupBy("uid", "doc_id").agg(

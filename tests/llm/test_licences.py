@@ -47,3 +47,20 @@ def test_notices_and_unknown(spark, model):
 
 def test_every_weight_has_a_telling_word(model):
     assert all(set(g.split()) & set(licences.TELLING) for g in model.weights)
+
+
+WRAPPED = {
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL": "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.\n#\n# This library is distributed in the hope that it will be useful.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted, provided that the above\r\ncopyright notice and this permission notice appear in all copies.\r\n",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */",
+}
+
+
+def test_wrapped_notices(spark, model):
+    rows = [(i, t) for i, t in enumerate(WRAPPED.values())] + [(10 + i, f"Foo bar baz.\n\n{t}\n\nMore prose.") for i, t in enumerate(WRAPPED.values())]
+    rows += [(20, "Released under the MIT License.\n\n" + WRAPPED["ISC"]), (21, "Released under the MIT License.\nReleased under the MIT License."), (22, "\n".join(licences.UNKNOWN))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.n_found) for r in licences.by_document(licences.scan(df, model)).collect()}
+    assert all(got[i] == got[10 + i] == (f, 1) for i, f in enumerate(WRAPPED))
+    assert got[20] == ("ISC,MIT", 2) and got[21] == ("MIT", 2) and got[22] == ("", 0)
