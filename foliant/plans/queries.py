@@ -641,9 +641,12 @@ def storage_names(spark, sf_dir):
     return R.table(spark, sf_dir, "pages").select("page_id", files.stored_path(F.lit("uploads/ocr_others"), name).alias("path"), files.object_url("b", key, cdn="https://cdn.example").alias("cdn_url"), files.object_url("b", key).alias("plain_url"), files.object_key(files.object_url("b", key)).alias("key"))
 
 
-def images(spark, sf_dir) -> DataFrame:
-    """Square grey images made of the bytes of documents of 400 bytes or more."""
-    return R.table(spark, sf_dir, "documents").where(F.octet_length("text") >= 400).select("doc_id", F.expr("substring(encode(text, 'utf-8'), 1, 400)").alias("pixels"), F.lit(20).alias("height"), F.lit(20).alias("width"), F.lit(1).alias("channels"))
+def images(spark, sf_dir, width: int = 20, channels: int = 1) -> DataFrame:
+    """Images of a fixed width made of all bytes of each document, the last row filled with zeros; an empty or missing text is one row of zeros."""
+    pixels = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    height = F.greatest(F.lit(1), F.ceil(F.octet_length(pixels) / (width * channels))).cast("int")
+    docs = R.table(spark, sf_dir, "documents").select("doc_id", pixels.alias("pixels"), height.alias("height"), F.lit(width).alias("width"), F.lit(channels).alias("channels"))
+    return docs.withColumn("pixels", F.expr("rpad(pixels, height * width * channels, X'00')"))
 
 
 def _image(name, kernel):
@@ -662,7 +665,7 @@ _image("image_denoise", imaging.denoise)
 
 @query()
 def image_watermark(spark, sf_dir):
-    colour = images(spark, sf_dir).withColumns({"pixels": F.expr("substring(pixels, 1, 300)"), "height": F.lit(10), "width": F.lit(10), "channels": F.lit(3)})
+    colour = images(spark, sf_dir, width=10, channels=3)
     return colour.select("doc_id", F.sha2(imaging.over_pixels(imaging.remove_red)(*map(F.col, ("pixels", "height", "width", "channels"))), 256).alias("pixels_sha256"))
 
 
