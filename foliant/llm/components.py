@@ -12,7 +12,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: tie larger neighbours to the smallest neighbour. Small star: tie a node and its smaller neighbours to the smallest of these."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    tied = both.join(least, "a")
+    tied = both.join(least, "a")  # a node with very many neighbours: both sides are dealt for this join alone, so that adaptive execution splits such a key
     out = tied.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 

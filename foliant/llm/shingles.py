@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SLICE = 1 << 20
+_LONG = 64  # bytes of a word, beyond which its key is a digest: sums of powers modulo 2^64 collide for long words of a simple make
 _powers: list[np.ndarray] = []
 
 
@@ -48,23 +51,22 @@ def word_hashes(text: str) -> np.ndarray:
     while i < len(start):  # slices of whole words, so that a very long text needs bounded memory
         j = max(i + 1, int(np.searchsorted(end, start[i] + _SLICE, side="right")))
         if end[j - 1] - start[i] > 2 * _SLICE - 2:  # a word longer than the tables
-            out.append(np.array([hash_long(raw[start[i] : end[i]], byte)], dtype=np.uint64))
+            out.append(np.array([digest(raw[start[i] : end[i]])], dtype=np.uint64))
             i += 1
             continue
         s, e = start[i:j] - start[i], end[i:j] - start[i]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(byte[raw[start[i] : end[j - 1]]] * up[: end[j - 1] - start[i]], dtype=np.uint64)))
-        out.append(mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
+        h = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        for k in np.flatnonzero(e - s > _LONG).tolist():
+            h[k] = digest(raw[start[i + k] : end[i + k]])
+        out.append(h)
         i = j
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def hash_long(raw: np.ndarray, byte: np.ndarray) -> int:
-    up, total, factor = _tables()[0], 0, 1
-    for i in range(0, len(raw), _SLICE):
-        part = raw[i : i + _SLICE]
-        total = (total + factor * int(np.sum(byte[part] * up[: len(part)], dtype=np.uint64))) % (1 << 64)
-        factor = factor * int(up[_SLICE]) % (1 << 64)
-    return int(mixed(np.array([(total + len(raw)) % (1 << 64)], dtype=np.uint64))[0])
+def digest(word: np.ndarray) -> int:
+    """The key of a long word."""
+    return int.from_bytes(hashlib.blake2b(word.tobytes().lower(), digest_size=8).digest(), "little")
 
 
 def shingle_set(text: str, width: int = 5) -> np.ndarray:

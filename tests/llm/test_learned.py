@@ -102,25 +102,57 @@ def test_link_counts_across_cuts(spark, block):
     sets = [shingle_tuples(t) for _, t in rows]
     want = [sum(4 * len(a & b) >= 3 * len(a | b) for b in sets) - 1 for a in sets]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    plain = spark.sparkContext.broadcast(np.zeros(1 << jaccard_join.SLOTS, dtype=np.uint8))
+    plain = spark.sparkContext.broadcast(jaccard_join.Table(1 << jaccard_join.SLOTS, []))
     full = jaccard_join._classes(docs, plain, 5, Fraction(3, 4))
     named = full.select("class", F.lit(1).cast("long").alias("component"), F.lit(1).cast("long").alias("n_class"), "n")
     counts = jaccard_join._link_counts(named, docs, full.select("class", "doc_id"), 5, Fraction(3, 4), block=block).join(full, "class")
     assert [r.linked for r in counts.orderBy("doc_id").collect()] == want
 
 
-def test_tree_loses_nothing():
+def test_forest_loses_nothing():
     rng = np.random.default_rng(0)
     from fractions import Fraction
 
-    sets = [np.unique(rng.integers(0, 2**63, rng.integers(1, 200), dtype=np.uint64)) for _ in range(60)]
-    sets += [np.sort(np.concatenate((s[: max(1, int(len(s) * 0.95))], rng.integers(0, 2**63, 2, dtype=np.uint64)))) for s in sets]
-    made = [jaccard_join.point_of(s) for s in sets]
-    points, sizes = jaccard_join.points([p for p, _ in made], [u for _, u in made]), np.array([len(s) for s in sets])
-    tree = jaccard_join.CountVectorRTree(points, sizes)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in [*rng.integers(1, 200, 60), *rng.integers(400, 20_000, 30), 70_000, 100]]
+    sets += [np.sort(np.concatenate((s[: max(1, int(len(s) * 0.9))], rng.integers(0, 2**63, 2, dtype=np.uint64)))) for s in sets]
+    sets.append(np.unique(np.arange(600, dtype=np.uint64) << np.uint64(40)))  # all in one group
+    made, sizes = [jaccard_join.point_of(s) for s in sets], np.array([len(s) for s in sets])
+    forest, through = jaccard_join.CountVectorForest(*zip(*made), sizes), 0
     for i, s in enumerate(sets):
-        near = set(tree.search(points[i], len(s), Fraction(3, 4)).tolist())
+        near = set(forest.search(forest.points[i], len(s), Fraction(3, 4)).tolist())
         assert {j for j, x in enumerate(sets) if jaccard_join.linked(s, x, Fraction(3, 4))} <= near
+        through += len(near) if len(s) > 400 else 0
+    assert through < 4 * 70  # unrelated large sets are told apart
+
+
+def test_jaccard_join_across_blocks(spark):
+    rnd = random.Random(8)
+    passage, rows = [f"p{i}" for i in range(40)], []
+    for i in range(50):  # all share a passage, so that they are in the same lists; some are linked by what else they share
+        own = [f"o{i // 3}_{k}" if rnd.random() < 0.8 else f"q{i}_{k}" for k in range(rnd.randint(3, 14))]
+        rows.append((i, " ".join(passage + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(rows)
+    assert 1 < len({c for _, c in want.values()}) < 50
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, block=4).collect()} == want
+
+
+def test_jaccard_join_long_texts(spark):
+    rnd = random.Random(9)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for i in range(14):
+        base = [rnd.choice(words) for _ in range(10_000)]
+        rows.append((2 * i, " ".join(base)))
+        if i < 4:
+            for k in range(0, 10_000, 60 + 100 * i):
+                base[k] = f"x{k}"
+            rows.append((2 * i + 1, " ".join(base)))
+    thue = "a"
+    for _ in range(10):
+        thue += thue.translate({97: 98, 98: 97})
+    rows += [(100, f"x {thue} y"), (101, f"x {thue.translate({97: 98, 98: 97})} y"), (102, f"X {thue.upper()} y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()} == brute_components(rows)
 
 
 def test_long_words():
