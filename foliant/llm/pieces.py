@@ -61,7 +61,7 @@ class Remembered(dict):
 
 
 class WordTable:
-    """Numbers of words by a 64-bit key and a second mark (length and last bytes); open addressing, whole arrays at a time."""
+    """Numbers of words by a 64-bit key and a second mark (length, last bytes and what stands before); open addressing, whole arrays at a time."""
 
     def __init__(self, bits: int = 21):
         self.shift, self.mask, self.n = np.uint64(64 - bits), (1 << bits) - 1, 0
@@ -106,8 +106,10 @@ class LibraryEncoder:
     """Token ids by the tokenizers library; a word seen before is not encoded again.
 
     Texts are cut into words by whole arrays of bytes; words are numbered, and
-    their ids lie one behind the other in one array. Texts with blanks beside
-    each other or at an end, or with rarer blanks, go to the library whole.
+    their ids lie one behind the other in one array. Words are found by a key
+    and compared byte by byte; texts with a word whose key another one has go to
+    the library whole, like those with blanks beside each other or at an end, or
+    with rarer blanks.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -132,26 +134,30 @@ class LibraryEncoder:
     def _start_over(self) -> None:
         self.table = WordTable()
         self.ids = np.zeros(1 << 16, dtype="<u4")
-        self.start, self.size = (np.zeros(1 << 16, dtype=np.int64) for _ in range(2))
-        self.filled = 0
+        self.start, self.size, self.word = (np.zeros(1 << 16, dtype=np.int64) for _ in range(3))
+        self.bytes = np.zeros(1 << 18, dtype=np.uint8)  # of the words one behind the other; word: where each begins
+        self.filled, self.bytes_filled = 0, 0
         for c in SIGNS:  # signs are the first entries, without keys
             self.sign_number[ord(c)] = self.table.n
             got = self.whole([c])[0]
-            self._store(got, np.array([len(got)]), self.table.n)
+            self._store(got, np.array([len(got)]), [b""], self.table.n)
             self.table.n += 1
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _store(self, ids: np.ndarray, sizes: np.ndarray, n: int) -> None:
-        k = len(sizes)
-        for name, more in (("start", n + k), ("size", n + k), ("ids", self.filled + len(ids))):
+    def _store(self, ids: np.ndarray, sizes: np.ndarray, words: list[bytes], n: int) -> None:
+        k, body, lengths = len(sizes), np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+        for name, more in (("start", n + k), ("size", n + k), ("word", n + k), ("ids", self.filled + len(ids)), ("bytes", self.bytes_filled + len(body))):
             if more > len(old := getattr(self, name)):
                 setattr(self, name, np.concatenate((old, np.zeros(max(more, 2 * len(old)) - len(old), old.dtype))))
         self.ids[self.filled : self.filled + len(ids)] = ids
+        self.bytes[self.bytes_filled : self.bytes_filled + len(body)] = body
         self.size[n : n + k] = sizes
         self.start[n : n + k] = self.filled + np.cumsum(sizes) - sizes
+        self.word[n : n + k] = self.bytes_filled + np.cumsum(lengths) - lengths
         self.filled += len(ids)
+        self.bytes_filled += len(body)
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         size = self.size[at]
@@ -197,9 +203,13 @@ class LibraryEncoder:
             if fine:
                 got |= zip(fine, self._group([texts[k] for k in fine], [raws[k] for k in fine]))
             return [got[k] for k in range(len(texts))]
-        return self._plain(raw, blank, ends)
+        out, wrong = self._plain(raw, blank, ends)
+        for k, ids in zip(wrong, self.whole([texts[k] for k in wrong])):
+            out[k] = ids
+        return out
 
-    def _plain(self, raw: np.ndarray, blank: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    def _plain(self, raw: np.ndarray, blank: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+        """(ids of each text, the texts for which they don't count, as one of their words isn't the one stored by its key)."""
         start, end = np.concatenate(([0], blank[:-1] + 1)), blank
         last = np.searchsorted(end, ends - 1)  # each text's last word
         first = np.concatenate(([0], last[:-1] + 1))
@@ -211,7 +221,7 @@ class LibraryEncoder:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.byte[raw] * up[: len(raw)], dtype=np.uint64)))
         length = (stop - start).astype(np.uint64)
         keys = mixed((sums[stop] - sums[start]) * down[start] + (length << np.uint64(8) | before)) | np.uint64(1)
-        marks = length << np.uint64(32)
+        marks = length << np.uint64(32) | before
         for k in range(1, 4):
             marks |= raw[stop - np.minimum(k, stop - start)].astype(np.uint64) << np.uint64(8 * k)
         if self.table.n > self.most:
@@ -222,20 +232,35 @@ class LibraryEncoder:
             _, once = np.unique(keys[missing], return_index=True)
             self._learn(raw, start, stop, before, keys, marks, missing[once])
             at[missing] = self.table.find(keys[missing], marks[missing])
+        unlike = at < 0
+        at[unlike] = 0
+        inside = np.ones(len(raw), dtype=bool)
+        inside[blank] = False
+        inside[stop[signed]] = False
+        size = stop - start
+        size[unlike] = 0
+        for k in np.flatnonzero(unlike).tolist():
+            inside[start[k] : stop[k]] = False
+        until = np.cumsum(size)
+        stored = np.repeat((self.word[at] - until + size).astype(np.int32), size) + np.arange(until[-1], dtype=np.int32)
+        other = np.flatnonzero(self.bytes[stored] != raw[inside])
+        unlike[np.searchsorted(until, other, side="right")] = True
+        wrong = np.unique(np.searchsorted(last, np.flatnonzero(unlike))).tolist()
         shift = np.cumsum(signed)
         items = np.empty(len(at) + int(shift[-1]), dtype=np.int64)
         items[np.arange(len(at)) + shift - signed] = at
         behind = np.flatnonzero(signed)
         items[behind + shift[behind]] = self.sign_number[raw[end[behind] - 1]]
         total = np.concatenate(([0], np.cumsum(self.size[items])))
-        return np.split(self._gather(items), total[(last + shift[last] + 1)[:-1]])
+        return np.split(self._gather(items), total[(last + shift[last] + 1)[:-1]]), wrong
 
     def _learn(self, raw, start, stop, before, keys, marks, new: np.ndarray) -> None:
         body = raw.tobytes()
         kind = before[new]
         for which, head in ((32, " "), (10, "\n"), (0, "")):
             some = new[kind == which]
-            words = [head + body[i:j].decode() for i, j in zip(start[some].tolist(), stop[some].tolist())]
+            plain = [body[i:j] for i, j in zip(start[some].tolist(), stop[some].tolist())]
+            words = [head + w.decode() for w in plain]
             if not words:
                 continue
             if head:
@@ -245,7 +270,7 @@ class LibraryEncoder:
                 ids, sizes = np.concatenate(got), np.array([len(g) for g in got])
             n = self.table.n
             self.table.add(keys[some], marks[some])
-            self._store(ids, sizes, n)
+            self._store(ids, sizes, plain, n)
 
 
 @lru_cache(maxsize=2)
