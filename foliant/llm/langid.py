@@ -8,9 +8,11 @@ share first, as long as the likelihood, penalised by the number of languages
 
 Defined cases: a text that is null or has no letter gets `und`, score 0 and no
 shares; with no labelled text to learn from, every text does. Ties go to the
-language that is first in code point order. Rows are independent, so repeated
-rows give repeated results; an empty table gives an empty result; columns that
-are neither text nor asked for are not read.
+language that is first in code point order. Rows are independent, whatever
+batch they come in, so repeated rows give repeated results; texts of any length
+are taken whole (cut between words where they are long); an empty table gives an
+empty result; columns that are neither text nor asked for are not read, and one
+named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -65,17 +67,33 @@ class Model:
     context: np.ndarray  # the same of the context
 
 
+def _cut(text: str, at: int, end: int) -> int:
+    """Where a slice from at on ends: end or, within a word, the word's beginning, or its end if nothing stands before it."""
+    if end >= len(text):
+        return len(text)
+    i = end
+    while i > at and text[i].isalpha() and text[i - 1].isalpha():
+        i -= 1
+    if i > at:
+        return i
+    while end < len(text) and text[end].isalpha():
+        end += 1
+    return end
+
+
 def _slices(texts: list[str]):
-    """(numbers of texts, texts) of bounded length together; a longer text comes in several slices."""
+    """(numbers of texts, texts) of bounded length together; a longer text comes in several slices of whole words."""
     held, size = [], 0
     for n, t in enumerate(texts):
-        for i in range(0, len(t), _SLICE):
-            part = t[i : i + _SLICE]
-            if held and size + len(part) > _SLICE:
+        i = 0
+        while i < len(t):
+            j = _cut(t, i, i + _SLICE)
+            if held and size + j - i > _SLICE:
                 yield held
                 held, size = [], 0
-            held.append((n, part))
-            size += len(part)
+            held.append((n, t[i:j]))
+            size += j - i
+            i = j
     if held:
         yield held
 
@@ -129,15 +147,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 
 def _maximise(p: np.ndarray, first: np.ndarray, doc: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shares, log-likelihood up to the words' own constants) after expectation-maximisation; languages of share 0 stay out."""
-    n = np.diff(np.append(first, len(p)))[:, None]
+    """(shares, log-likelihood up to the words' own constants) after expectation-maximisation; languages of share 0 stay out. A text is done when its own shares have settled, whatever texts stand beside it."""
+    n, going = np.diff(np.append(first, len(p)))[:, None], np.ones(len(first), dtype=bool)
     for _ in range(steps):
         r = p * share[doc]
         r /= r.sum(axis=1, keepdims=True)
         new = np.add.reduceat(r, first) / n
-        done = np.abs(new - share).max() < 1e-3
-        share = new
-        if done:
+        moved = np.abs(new - share).max(axis=1) >= 1e-3
+        share = np.where(going[:, None], new, share)
+        going &= moved
+        if not going.any():
             break
     return share, np.add.reduceat(np.log((p * share[doc]).sum(axis=1) + 1e-300), first)
 
@@ -180,10 +199,10 @@ def infer(model: Model, texts: list[str], steps: int = 12, penalty: float = 1.0)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, steps: int = 12, penalty: float = 1.0) -> DataFrame:
-    """The columns keep of docs (all by default), then lang_pred, score (the share of that language) and lang_shares (a map)."""
+    """The columns keep of docs (all by default; those named like a result are replaced), then lang_pred, score (the share of that language) and lang_shares (a map)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score", "lang_shares")]
     held = spark.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 
