@@ -1,18 +1,20 @@
 """Quality by nearest labelled neighbours in a latent-semantic space.
 
-Terms are short runs of character shapes (letter case, digits, blanks, each
-other sign for itself), of characters of different shape in a row, and of
-repeated words and lines. Their weighted frequencies in labelled documents are
-reduced by a singular value decomposition. The labelled vectors, a bounded
+Terms are a text's words, hashed, and short runs of character shapes (letter
+case, digits, blanks, each other sign for itself), of characters of different
+shape in a row, and of repeated words and lines. Their weighted frequencies in
+labelled documents are reduced by a singular value decomposition. The labelled vectors, a bounded
 number, are broadcast; each document's cosines with all of them are computed in
 blocks, and its nearest vote by similarity, weighted so that classes have the
 weight that they have among all labels.
 
 Defined cases: a null or empty text gets score 0; without labelled documents
 every text that isn't empty gets 0.5; labels other than 0 and 1 are left out,
-repeated ones of a document are averaged; rows are independent, so repeated
-rows give repeated results; an empty table gives an empty result; other columns
-are not read.
+repeated ones of a document are averaged; of equally near neighbours the one
+with the smaller doc_id comes first; rows are independent, whatever batch they
+come in, so repeated rows give repeated results; texts of any length are counted
+whole; an empty table gives an empty result; other columns are not read, and one
+named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import arrow_map, bounded_batches, hashed_share, shared_dir
 
-TERMS = 4096
+SHAPES = 4096
+TERMS = 2 * SHAPES  # the second half: words
+WORDS_COUNT = 0.5  # the words' part in a vector, against 1 for the shapes'
 _SLICE = 500_000
 
 
@@ -46,16 +50,15 @@ def _term(value: np.ndarray, kind: int) -> np.ndarray:
 
 
 def term_counts(texts: list[str]) -> np.ndarray:
-    """[text, term] counts; texts longer than a slice are counted slice by slice."""
+    """[text, term] counts, each text's for itself; short texts are counted together."""
     out = np.zeros((len(texts), TERMS), dtype=np.float32)
     held, size = [], 0
     for n, t in enumerate(texts):
-        for i in range(0, len(t), _SLICE):
-            held.append((n, t[i : i + _SLICE]))
-            size += len(held[-1][1])
-            if size >= _SLICE:
-                _count(held, out)
-                held, size = [], 0
+        if held and size + len(t) > _SLICE:
+            _count(held, out)
+            held, size = [], 0
+        held.append((n, t))
+        size += len(t)
     if held:
         _count(held, out)
     return out
@@ -63,33 +66,45 @@ def term_counts(texts: list[str]) -> np.ndarray:
 
 def _count(parts: list[tuple[int, str]], out: np.ndarray) -> None:
     codes = np.frombuffer("".join(t + "\n" for _, t in parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    owner = np.repeat(np.array([n for n, _ in parts]), [len(t) + 1 for _, t in parts])
-    low, n = owner[0], owner[-1] - owner[0] + 1
+    owner = np.repeat(np.array([n for n, _ in parts], dtype=np.int32), [len(t) + 1 for _, t in parts])
+    low, n = int(owner[0]), int(owner[-1] - owner[0] + 1)
     s = _shapes()[codes]
-    found = [((owner[2:] - low) * TERMS + _term(s[:-2] << np.uint32(12) | s[1:-1] << np.uint32(6) | s[2:], 1))]
-    turn = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    r, ro = s[turn], owner[turn] - low
-    found.append(ro[3:] * TERMS + _term(r[:-3] << np.uint32(18) | r[1:-2] << np.uint32(12) | r[2:-1] << np.uint32(6) | r[3:], 2))
+    total = np.zeros(n * TERMS, dtype=np.int64)
+
+    def add(who, term, weights=None):
+        at = (who - low).astype(np.int64) * TERMS + term
+        np.add(total, np.bincount(at, weights, minlength=n * TERMS), out=total, casting="unsafe")
+
+    for i in range(0, len(s), _SLICE):  # a window belongs to a text as a whole, or to none
+        x, o = s[i : i + _SLICE + 2], owner[i : i + _SLICE + 2]
+        own = o[2:] == o[:-2]
+        add(o[2:][own], _term(x[:-2] << np.uint32(12) | x[1:-1] << np.uint32(6) | x[2:], 1)[own])
+    turn = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])))
+    r, ro = s[turn], owner[turn]
+    own = ro[3:] == ro[:-3]
+    add(ro[3:][own], _term(r[:-3] << np.uint32(18) | r[1:-2] << np.uint32(12) | r[2:-1] << np.uint32(6) | r[3:], 2)[own])
     blank = (s == 4) | (s == 5)
     begin = np.flatnonzero(~blank & np.append(True, blank[:-1]))
     mixed = codes * np.uint32(0x9E3779B1)
+
+    def hashes(starts):
+        place = np.arange(len(codes), dtype=np.uint32) - np.repeat(np.append(0, starts).astype(np.uint32), np.diff(np.concatenate(([0], starts, [len(codes)]))))
+        return np.add.reduceat(np.where(blank, np.uint32(0), mixed * (2 * place + np.uint32(1))), starts, dtype=np.uint32)
+
     if len(begin):
-        place = np.arange(len(codes)) - np.repeat(np.append(0, begin), np.diff(np.concatenate(([0], begin, [len(codes)]))))
-        words = np.add.reduceat(np.where(blank, np.uint32(0), mixed * (2 * place.astype(np.uint32) + np.uint32(1))), begin)
-        wo = owner[begin] - low
+        words, wo = hashes(begin), owner[begin]
+        add(wo, SHAPES + _term(words, 3))
         for lag in (1, 2, 3):
             same = (words[lag:] == words[:-lag]) & (wo[lag:] == wo[:-lag])
-            found.append(wo[lag:][same] * TERMS + lag)
+            add(wo[lag:][same], np.full(int(same.sum()), lag))
         line = np.flatnonzero(np.append(True, (s == 5)[:-1]))
-        lines = np.add.reduceat(np.where(blank, np.uint32(0), mixed * (2 * (np.arange(len(codes)) - np.repeat(line, np.diff(np.append(line, len(codes))))).astype(np.uint32) + np.uint32(1))), line)
-        key = (owner[line] - low).astype(np.uint64) << np.uint64(32) | lines.astype(np.uint64)
-        _, once = np.unique(key, return_index=True)
-        again = np.ones(len(key), bool)
+        lines, lo = hashes(line), owner[line]
+        _, once = np.unique(lo.astype(np.uint64) << np.uint64(32) | lines.astype(np.uint64), return_index=True)
+        again = np.ones(len(line), bool)
         again[once] = False
         again &= lines != 0
-        width = np.diff(np.append(line, len(codes)))
-        found.append(np.repeat((owner[line] - low)[again] * TERMS + 4, width[again]))
-    out[low : low + n] += np.bincount(np.concatenate(found), minlength=n * TERMS).reshape(n, TERMS)
+        add(lo[again], np.full(int(again.sum()), 4), np.diff(np.append(line, len(codes)))[again])
+    out[low : low + n] += total.reshape(n, TERMS)
 
 
 @dataclass
@@ -102,7 +117,8 @@ class Model:
 
 
 def _frequencies(counts: np.ndarray) -> np.ndarray:
-    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
+    parts = [np.sqrt(c / np.maximum(c.sum(axis=1, keepdims=True), 1)) for c in (counts[:, :SHAPES], counts[:, SHAPES:])]
+    return np.concatenate((parts[0], np.float32(WORDS_COUNT) * parts[1]), axis=1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -148,24 +164,31 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 
 def vote(model: Model, texts: list[str], neighbours: int = 15, block: int = 64) -> np.ndarray:
-    """The similarity-weighted share of label 1 among each text's nearest labelled documents."""
+    """The similarity-weighted share of label 1 among each text's nearest labelled documents.
+
+    Blocks are filled up to the same number of rows, so that a text's products
+    don't depend on what stands beside it.
+    """
     out = []
     for i in range(0, len(texts), block):
-        counts = term_counts(texts[i : i + block])
+        some = texts[i : i + block]
+        counts = term_counts(some + [""] * (block - len(some)))
         v = _unit((_frequencies(counts) * model.weight) @ model.axes)
-        near = v @ model.vectors.T
+        near = (v @ model.vectors.T)[: len(some)]
         k = min(neighbours, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        sim = np.maximum(np.take_along_axis(near, best, axis=1), 0.01) ** 8 * model.votes[best]
-        out.append((sim * model.labels[best]).sum(axis=1) / sim.sum(axis=1))
+        least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+        above, level = near > least, near == least
+        chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        sim = np.where(chosen, np.maximum(near, 0.01) ** 8 * model.votes, 0)
+        out.append((sim * model.labels).sum(axis=1) / sim.sum(axis=1))
     return np.concatenate(out) if out else np.zeros(0)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
-    """The columns keep of docs (all by default), score and predicted (1 from threshold on)."""
+    """The columns keep of docs (all by default; those named like a result are replaced), score and predicted (1 from threshold on)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")]
     held, kinds = spark.sparkContext.broadcast(model), dict(docs.dtypes)
 
     def work(batches):
