@@ -5,15 +5,18 @@ leaf. A search goes best bin first: a priority queue holds the nodes seen so
 far by the distance of their centre, and leaves are visited in the order in
 which they come out. How many are visited is widened until the recall, which is
 measured against brute force over all rows for a bounded number of queries,
-reaches its goal. Queries meet the rows of a leaf in a shuffle; large leaves are
-cut. Of equal vectors only the k + 1 smallest ids can be in a result, so only
+reaches its goal. Queries meet the rows of a leaf in a shuffle; leaves with
+many rows or many queries are cut on that side, by a small table of the leaves.
+Of equal vectors only the k + 1 smallest ids can be in a result, so only
 those are searched.
 
 Defined cases: vectors that are null, zero, not of the most frequent length (the
 smaller one on ties), or that hold a null or non-finite component take no part;
 ties go to the smaller id; a query with fewer than k others gets all of them;
-repeated ids are rows of their own, except that a query never finds its own id;
-an empty table gives no rows; other columns are not read.
+rows that repeat an id with its vector count once; an id with several vectors has
+a row for each, and a query never finds its own id, so that several vectors of
+it may leave it fewer than k; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from foliant.llm.common import arrow_map, bounded_batches, hashed_share, shared_
 LEAF_ROWS = 256
 MAX_LEAVES = 65_536
 SAMPLE_PER_LEAF = 64
-MAX_SAMPLE = 200_000
+MAX_SAMPLE = 100_000  # twice that many rows at most come to the driver
 FIRST_LEAVES = 8
 
 
@@ -104,15 +107,24 @@ def _matrix(column) -> np.ndarray:
 
 
 def _nearest(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, within: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the k nearest (rows, distances), ties by id, none farther than within; by exact differences, in blocks."""
-    out, step = [], max(1, 4_000_000 // max(1, x.size))
+    """For each query the k nearest (rows, distances), ties by id, none farther than within.
+
+    Products of matrices tell which rows can be among them, with a margin far
+    above their rounding; the distances of these are taken from exact differences.
+    """
+    out, step, length = [], max(1, 4_000_000 // max(1, len(x))), (x**2).sum(axis=1)
+    margin = 1e-9 * (length.max(initial=0) + (queries**2).sum(axis=1).max(initial=0))
     for i in range(0, len(queries), step):
-        d = np.sqrt(((queries[i : i + step, None, :] - x[None]) ** 2).sum(axis=2))
-        for n, row in enumerate(d, i):
+        some = queries[i : i + step]
+        square = (some**2).sum(axis=1)[:, None] + length - 2 * (some @ x.T)
+        for n, row in enumerate(square, i):
             most = np.inf if within is None else within[n]
-            near = np.flatnonzero(row <= (min(most, np.partition(row, k - 1)[k - 1]) if len(row) > k else most))
-            near = near[np.lexsort((ids[near], row[near]))][:k]
-            out.append((near, row[near]))
+            least = min(most**2, np.partition(row, k - 1)[k - 1]) if len(row) > k else most**2
+            near = np.flatnonzero(row <= least + 2 * margin)
+            d = np.sqrt(((x[near] - queries[n]) ** 2).sum(axis=1))
+            near, d = near[d <= most], d[d <= most]
+            first = np.lexsort((ids[near], d))[:k]
+            out.append((near[first], d[first]))
     return out
 
 
@@ -127,14 +139,14 @@ def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return rows.withColumn("key", F.sha2(v.cast("string"), 256))
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", goal: float = 0.94, calibration: int = 64, leaf_cut: int = 4000) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", goal: float = 0.94, calibration: int = 64, leaf_cut: int = 4000, ask_cut: int = 4000) -> DataFrame:
     """query_id, rank, vec_id, score for the rows for which is_query (a column over vec_id) holds."""
     spark = vectors.sparkSession
     shared_dir(spark)
     bounded_batches(spark, 2048)
     all_rows = stage(usable(vectors, vec_id, vector), "vectors")
     first = Window.partitionBy("key").orderBy("vec_id")
-    rows = all_rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k + 1).drop("__n")
+    rows = all_rows.dropDuplicates(["key", "vec_id"]).withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k + 1).drop("__n")
     rows = stage(rows, "distinct-vectors")
     n = rows.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -142,8 +154,9 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
         return empty
     leaves = min(MAX_LEAVES, max(1, n // LEAF_ROWS))
     wanted = min(MAX_SAMPLE, leaves * SAMPLE_PER_LEAF)
-    sample = rows.where(hashed_share("vec_id", 3) < min(1.0, wanted / n)).select("vec_id", "v").limit(2 * wanted).toPandas().sort_values("vec_id")
-    tree = Tree.fit(_matrix(sample["v"]), max(1, len(sample) // leaves)) if len(sample) else Tree(np.zeros((1, 1)), [[]], [0], 1)
+    sample = rows.where(hashed_share("vec_id", 3) < min(1.0, wanted / n)).select("vec_id", "v").limit(2 * wanted).toArrow().sort_by("vec_id")
+    flat = sample.column("v").combine_chunks().flatten().to_numpy() if len(sample) else None
+    tree = Tree.fit(flat.reshape(len(sample), -1), max(1, len(sample) // leaves)) if len(sample) else Tree(np.zeros((1, 1)), [[]], [0], 1)
     held = spark.sparkContext.broadcast(tree)
 
     def put(batches):
@@ -155,28 +168,28 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
     queries = all_rows.where(is_query(F.col("vec_id")))
     distinct = queries.groupBy("key").agg(F.first("v").alias("v"))
     visits = _calibrate(placed, distinct, tree, k, goal, calibration)
-    cuts = {r["leaf"]: -(-r["count"] // leaf_cut) for r in placed.groupBy("leaf").count().where(F.col("count") > leaf_cut).collect()}  # a row a leaf at most
-
-    sizes = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]) if cuts else None
-    cut = F.pmod(F.xxhash64("vec_id"), F.coalesce(F.try_element_at(sizes, F.col("leaf")), F.lit(1))).cast("int") if cuts else F.lit(0)
-    there = placed.select("leaf", cut.alias("cut"), F.lit(None).cast("string").alias("key"), "vec_id", "v", F.lit(None).cast("double").alias("within"))
+    sizes = stage(placed.groupBy("leaf").agg(F.ceil(F.count("*") / leaf_cut).alias("cuts")), "leaf-cuts")  # a row a leaf: MAX_LEAVES at most, and a few more
 
     def visit(asking: DataFrame, lo: int, hi: int) -> DataFrame:
         """The nearest rows in the leaves that come lo to hi in each query's order. asking: key, v, within."""
 
         def order(batches):
             for batch in batches:
-                out = {"leaf": [], "cut": [], "key": [], "v": [], "within": []}
+                out = {"leaf": [], "key": [], "v": [], "within": []}
                 for key, v, within in zip(*(batch.column(c).to_pylist() for c in ("key", "v", "within"))):
                     for leaf in held.value.best_first(np.array(v), hi)[lo:]:
-                        for c in range(cuts.get(leaf, 1)):
-                            for name, value in zip(out, (leaf, c, key, v, within)):
-                                out[name].append(value)
+                        for name, value in zip(out, (leaf, key, v, within)):
+                            out[name].append(value)
                 yield out
 
-        asked = arrow_map(asking, order, "leaf long, cut int, key string, v array<double>, within double")
-        asked = asked.select("leaf", "cut", "key", F.lit(None).cast("long").alias("vec_id"), "v", "within")
-        return asked.unionByName(there).groupBy("leaf", "cut").applyInPandas(compare, "key string, vec_id long, score double")
+        def each(n):
+            return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+        asked = stage(arrow_map(asking, order, "leaf long, key string, v array<double>, within double"), "asked")
+        both = F.broadcast(asked.groupBy("leaf").agg(F.ceil(F.count("*") / ask_cut).alias("ask_cuts")).join(F.broadcast(sizes), "leaf"))
+        asks = asked.join(both, "leaf").select("leaf", F.pmod(F.xxhash64("key"), "ask_cuts").alias("ask_cut"), each("cuts").alias("cut"), "key", F.lit(None).cast("long").alias("vec_id"), "v", "within")
+        there = placed.join(both, "leaf").select("leaf", each("ask_cuts").alias("ask_cut"), F.pmod(F.xxhash64("vec_id"), "cuts").alias("cut"), F.lit(None).cast("string").alias("key"), "vec_id", "v", F.lit(None).cast("double").alias("within"))
+        return asks.unionByName(there).groupBy("leaf", "ask_cut", "cut").applyInPandas(compare, "key string, vec_id long, score double")
 
     def compare(group):
         import pandas as pd

@@ -253,6 +253,26 @@ def test_nearest(spark):
     assert found >= 0.9 * 300
 
 
+@pytest.mark.parametrize("cut", [1, 7])
+def test_nearest_in_cuts(spark, cut):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((600, 8))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = kmeans_tree.search(df, lambda i: i % 10 == 0, goal=1.0, leaf_cut=50 * cut, ask_cut=cut).collect()
+    assert len(got) == 600
+    for r in got:
+        assert r.score == np.sqrt(((x[r.vec_id] - x[r.query_id]) ** 2).sum())
+    exact = {(q, int(i)) for q in range(0, 600, 10) for i in np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11]}
+    assert len(exact & {(r.query_id, r.vec_id) for r in got}) >= 0.95 * len(exact)
+
+
+def test_nearest_repeated_query(spark):
+    rows = [(100, [1.0, 0.5])] * 13 + [(i, [1.0 + i, 0.0]) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id) for r in kmeans_tree.search(df, lambda i: i == 100).collect())
+    assert got == [(i + 1, i) for i in range(10)]
+
+
 def test_nearest_edges(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, float("nan")]), (4, [1.0, None]), (5, [1.0, 2.0]), (6, [1.0, 2.0, 3.0]), (100, [3.0, 1.0]), (7, []), (8, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as rank", "'q' as key")
