@@ -65,37 +65,87 @@ def offline(prompts: list[str]) -> list[Answer]:
     return [(p, len(p) // 4, len(p) // 4, None) for p in prompts]
 
 
-def ask(df: DataFrame, prompt: str, provider: Provider, retries: int = 1) -> DataFrame:
-    """Add the struct answer(text, prompt_tokens, completion_tokens, error) to each row; a failing batch is retried, then its rows get the error."""
-    schema = T.StructType([*df.schema.fields, T.StructField("answer", T.StructType.fromDDL("text string, prompt_tokens int, completion_tokens int, error string"))])
+ANSWER = "struct<text:string,prompt_tokens:int,completion_tokens:int,error:string>"
+
+
+def answers(df: DataFrame, prompts: str, provider: Provider, retries: int = 1) -> DataFrame:
+    """Add answers, an array beside that of prompts: the answer to each, null for a null prompt.
+
+    All prompts of a batch of rows go to the provider in one call, each once; a
+    failing call is repeated, then its prompts get the error. Nothing is asked
+    for a batch without prompts.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("answers", T.ArrayType(T.StructType.fromDDL("text string, prompt_tokens int, completion_tokens int, error string")))])
 
     def work(batches):
         import pyarrow as pa
 
-        kind = None
+        names = ("text", "prompt_tokens", "completion_tokens", "error")
+        kind = pa.list_(pa.struct(list(zip(names, (pa.string(), pa.int32(), pa.int32(), pa.string())))))
         for batch in batches:
-            prompts = [p or "" for p in batch.column(prompt).to_pylist()]
-            for attempt in range(retries + 1):
+            rows = [r or [] for r in batch.column(prompts).to_pylist()]
+            asked = [p for r in rows for p in r if p is not None]
+            got = []
+            for _ in range(retries + 1 if asked else 0):
                 try:
-                    got = provider(prompts)
+                    got = provider(asked)
                     break
                 except Exception as failed:  # the provider's own errors; none of them may drop a row
-                    got = [(None, 0, 0, str(failed)[:500])] * len(prompts)
-            kind = pa.struct([("text", pa.string()), ("prompt_tokens", pa.int32()), ("completion_tokens", pa.int32()), ("error", pa.string())])
-            rows = [dict(zip(("text", "prompt_tokens", "completion_tokens", "error"), g)) for g in got]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, type=kind)], names=[*batch.schema.names, "answer"])
+                    got = [(None, 0, 0, str(failed)[:500])] * len(asked)
+            told = iter(got)
+            out = [[None if p is None else dict(zip(names, next(told))) for p in r] for r in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=kind)], names=[*batch.schema.names, "answers"])
 
     return df.mapInArrow(work, schema)
 
 
-def correct(df: DataFrame, provider: Provider, gate: Column, text: str = "text") -> DataFrame:
-    """Add corrected, used and error. Only rows that pass the gate reach the provider; a refusal or an error leaves the text."""
+def ask(df: DataFrame, prompt: str | Column, provider: Provider, retries: int = 1, gate: Column | None = None) -> DataFrame:
+    """Add the struct answer(text, prompt_tokens, completion_tokens, error) to each row; null where the gate doesn't hold, for which nothing is asked."""
+    prompt = F.coalesce(F.col(prompt) if isinstance(prompt, str) else prompt, F.lit(""))
+    asked = df.withColumn("__prompts", F.array(prompt if gate is None else F.when(gate, prompt)))
+    return answers(asked, "__prompts", provider, retries).withColumn("answer", F.get("answers", F.lit(0))).drop("__prompts", "answers")
+
+
+DASHES = "\n---\n"
+TIDY_TASK = "Correct spelling, signs and blanks in this text without changing what it says. Answer with the text alone."
+
+
+def task_prompt(task: str, text: Column) -> Column:
+    """A task, a line of dashes, and the text it is about."""
+    return F.concat(F.lit(task + DASHES), text)
+
+
+def correction_prompt(text: Column, kind: str = "transcript") -> Column:
+    """Asks for the whole text without recognition errors, with the known confusions of words as examples."""
+    from foliant.functions import rules
+
+    known = "; ".join(f"{a} -> {b}" for a, b in rules.TYPOS.words)
+    task = f"Correct the recognition errors in this {kind}, and nothing else: keep every number, sign and line end, and what you are not sure of. "
+    return task_prompt(f"{task}The work is authorised; leave nothing out. Known confusions: {known}. Within land numbers o and O are 0, l and I are 1, and blanks go. Answer with the whole text alone.", text)
+
+
+def tidy_prompt(text: Column) -> Column:
+    """Asks for a text's spelling, signs and blanks to be put right, whatever kind it is of."""
+    return task_prompt(TIDY_TASK, text)
+
+
+#: What is asked about a field's candidate, by field.
+FIELD_TASKS = {
+    "land_number": "Write this land number as four digits, a hyphen and four to eight digits; o and O are 0, l and I are 1, blanks go. Answer with the number alone, or INVALID.",
+    "date": "Write this date as 民國, two or three digits, 年, two digits from 01 to 12, 月, two digits from 01 to 31, 日. Answer with the date alone.",
+    "area": "Write this area as a number followed by 平方公尺. Answer with the area alone.",
+    "owner": "Write this person's name without signs that belong to no name. Answer with the name alone.",
+}
+
+
+def correct(df: DataFrame, provider: Provider, gate: Column, text: str = "text", prompt: Callable[[Column], Column] = correction_prompt) -> DataFrame:
+    """Add corrected, used and error, in one pass. Only rows that pass the gate reach the provider; a refusal or an error leaves the text."""
     from foliant.operators.validate import is_refusal
 
-    asked = ask(df.where(gate), text, provider).withColumns({"used": F.col("answer.error").isNull(), "error": F.col("answer.error")})
-    asked = asked.withColumn("corrected", F.when(F.col("used") & ~is_refusal(F.col("answer.text")), F.col("answer.text")).otherwise(F.col(text))).drop("answer")
-    rest = df.where(~F.coalesce(gate, F.lit(False))).withColumns({"used": F.lit(False), "error": F.lit(None).cast("string"), "corrected": F.col(text)})
-    return asked.unionByName(rest)
+    asked = ask(df, prompt(F.coalesce(F.col(text), F.lit(""))), provider, gate=gate)
+    used = F.col("answer").isNotNull() & F.col("answer.error").isNull()
+    corrected = F.when(used & ~is_refusal(F.col("answer.text")), F.col("answer.text")).otherwise(F.col(text))
+    return asked.withColumns({"used": used, "error": F.col("answer.error"), "corrected": corrected}).drop("answer")
 
 
 # Default models by provider.
@@ -119,14 +169,14 @@ def provider_options(name: str, key: str | None, model: str | None = None) -> di
 
 def extraction_prompt(doc_type: Column, text: Column) -> Column:
     """Asks for the fields of the kind; for an unknown kind, for an empty object."""
-    out = F.concat(F.lit("Answer with {}.\n---\n"), text)
+    out = task_prompt("Answer with {}.", text)
     for kind, names in FIELDS.items():
         out = F.when(doc_type == kind, field_prompt(text, names, 1_000_000)).otherwise(out)
     return out
 
 
 def classification_prompt(text: Column) -> Column:
-    return F.concat(F.lit(f'Which kind of document is this: {", ".join(FIELDS)} or unknown? Answer with {{"doc_type": ..., "confidence": 0 to 100, "reasoning": ...}}.\n---\n'), text)
+    return task_prompt(f'Which kind of document is this: {", ".join(FIELDS)} or unknown? Answer with {{"doc_type": ..., "confidence": 0 to 100, "reasoning": ...}}.', text)
 
 
 def parse_classification(answer: Column) -> Column:
@@ -137,7 +187,7 @@ def parse_classification(answer: Column) -> Column:
 
 
 def summary_prompt(text: Column) -> Column:
-    return F.concat(F.lit("Summarise this document in three to five sentences.\n---\n"), text)
+    return task_prompt("Summarise this document in three to five sentences.", text)
 
 
 def stats(answered: DataFrame, provider: str, model: str) -> DataFrame:
@@ -146,17 +196,22 @@ def stats(answered: DataFrame, provider: str, model: str) -> DataFrame:
     return answered.agg(F.count("answer").alias("llm_calls"), (p + c).alias("tokens_used"), cost(F.lit(provider), F.lit(model), p, c).alias("estimated_cost"))
 
 
-def correct_fields(df: DataFrame, provider: Provider, text: str = "text") -> DataFrame:
-    """Ask for each field candidate of a text on its own, and put the answers in place of the candidates' first occurrences."""
+def correct_fields(df: DataFrame, provider: Provider, text: str = "text", names: tuple[str, ...] | None = None) -> DataFrame:
+    """Add corrected: each field's candidate is asked about on its own, and the answers take the places of the candidates' first occurrences, in the fields' order.
+
+    One pass: a row's candidates, taken from the text as it came, go to the
+    provider together, each once. names: the fields, all by default.
+    """
     from foliant.functions import extract, rules
     from foliant.functions.patterns import CANDIDATES
 
-    out = df.withColumn("corrected", F.col(text))
-    for name in CANDIDATES:
-        with_field = out.withColumn("__field", extract.candidate(F.col(text), name))
-        asked = ask(with_field.where("__field is not null"), "__field", provider)
-        answer = F.when(F.col("answer.error").isNull(), F.col("answer.text")).otherwise(F.col("__field"))
-        answer = extract.valid_land_number(answer, F.col("__field")) if name == "land_number" else answer
-        done = asked.withColumn("corrected", rules.replace_first(F.col("corrected"), F.col("__field"), answer)).drop("answer", "__field")
-        out = done.unionByName(with_field.where("__field is null").drop("__field"))
-    return out
+    names = tuple(CANDIDATES) if names is None else names
+    found = df.withColumn("__found", F.array(*[extract.candidate(F.col(text), n) for n in names]))
+    asked = answers(found.withColumn("__prompts", F.array(*[task_prompt(FIELD_TASKS[n], F.get("__found", F.lit(i))) for i, n in enumerate(names)])), "__prompts", provider)
+    out = asked.withColumn("corrected", F.col(text))
+    for i, name in enumerate(names):
+        original, answer = F.get("__found", F.lit(i)), F.get("answers", F.lit(i))
+        told = F.when(answer["error"].isNull(), F.trim(answer["text"])).otherwise(original)
+        told = extract.valid_land_number(told, original) if name == "land_number" else told
+        out = out.withColumn("corrected", rules.replace_first(F.col("corrected"), original, F.coalesce(told, original)))
+    return out.drop("__found", "__prompts", "answers")
