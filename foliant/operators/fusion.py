@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +52,32 @@ def fuse(results: DataFrame, method: str = "smart", page: str = "page_id") -> Da
     return scored.groupBy(page).agg(best.alias("r")).select(page, "r.text", "r.confidence")
 
 
+def fuse_all(results: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page, best, smart, vote, weighted), each a struct of text and confidence as fuse() gives them, in one aggregation over the page's few engines."""
+    one = F.struct("engine_ord", "text", "confidence")
+    by = results.groupBy(page).agg(F.array_sort(F.collect_list(one)).alias("r"))
+    by = by.withColumn("longest", F.array_max(F.transform("r", lambda x: F.length(x["text"])))).withColumn("mean", F.aggregate("r", F.lit(0.0), lambda a, x: a + x["confidence"], lambda a: a / F.size("r")))
+
+    def top(rank):  # the first of those with the greatest rank
+        return F.array_max(F.transform("r", lambda x: F.struct(rank(x).alias("rank"), (-x["engine_ord"]).alias("o"), x["text"].alias("text"), x["confidence"].alias("confidence"))))
+
+    def pick(x, confidence=None):
+        return F.struct(x["text"].alias("text"), (x["confidence"] if confidence is None else confidence).alias("confidence"))
+
+    best, mean = top(lambda x: x["confidence"]), F.col("mean")
+    weighted = F.when(mean == 0, F.struct(F.get("r", F.lit(0))["text"].alias("text"), F.lit(0.0).alias("confidence"))).otherwise(pick(best, mean))
+    smart = top(lambda x: smart_score(x["text"], F.col("longest"), x["confidence"]))
+    return by.select(page, pick(best).alias("best"), pick(smart).alias("smart"), pick(top(lambda x: F.length(x["text"])), mean).alias("vote"), weighted.alias("weighted"))
+
+
 def compare_methods(results: DataFrame, page: str = "page_id") -> DataFrame:
     """For each method its characters, keywords and mean confidence over all pages, and whether it is the best by keywords, then characters."""
-    parts = None
-    for i, m in enumerate(METHODS):
-        one = fuse(results, m, page).agg(F.lit(m).alias("method"), F.lit(i).alias("ord"), F.sum(F.length("text")).alias("chars"), F.sum(hits(F.col("text"), KEYWORDS)).alias("keywords"), F.round(F.avg("confidence"), 4).alias("confidence"))
-        parts = one if parts is None else parts.unionByName(one)
-    best = parts.agg(F.max_by("method", F.struct("keywords", "chars", -F.col("ord"))).alias("best"))
-    return parts.crossJoin(F.broadcast(best)).select("method", "chars", "keywords", "confidence", (F.col("method") == F.col("best")).alias("is_best"))  # four rows and one
+    told = fuse_all(results, page).select(*[F.struct(F.length(F.col(m)["text"]).cast("long").alias("n"), hits(F.col(m)["text"], KEYWORDS).alias("k"), F.col(m)["confidence"].alias("c")).alias(m) for m in METHODS])
+    sums = told.agg(*[F.struct(F.lit(m).alias("method"), F.sum(F.col(m)["n"]).alias("chars"), F.sum(F.col(m)["k"]).alias("keywords"), F.round(F.avg(F.col(m)["c"]), 4).alias("confidence"), F.lit(-i).alias("o")).alias(m) for i, m in enumerate(METHODS)])
+    rows = F.array(*METHODS)
+    best = F.array_max(F.transform(rows, lambda x: F.struct(x["keywords"], x["chars"], x["o"], x["method"].alias("method"))))
+    out = sums.where(F.col(METHODS[0])["chars"].isNotNull()).select(F.inline(F.transform(rows, lambda x: F.struct(x["method"].alias("method"), x["chars"].alias("chars"), x["keywords"].alias("keywords"), x["confidence"].alias("confidence"), (x["method"] == best["method"]).alias("is_best")))))
+    return out
 
 
 def page_text(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -76,3 +96,39 @@ def fuse_valid(pages: DataFrame, results: DataFrame, method: str = "smart", page
     """Every page: its fused result out of those without an error, or an empty text with confidence 0 if there is none."""
     fused = fuse(results.where("error is null"), method, page)
     return pages.select(page).join(fused, page, "left").select(page, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+#: An engine reads a list of images: a text and a confidence for each.
+Engine = Callable[[list[bytes]], list[tuple[str, float]]]
+
+
+def recognise(pages: DataFrame, names: list[str], engines: dict[str, Engine], page: str = "page_id", image: str = "image") -> DataFrame:
+    """(page, engine_ord, engine, text, confidence, error): one row a page and engine, in the order of names.
+
+    An unknown name raises ValueError. An engine that fails leaves an empty text
+    with confidence 0 and the error, and the others' rows as they are; a null
+    image is such a failure. A page is sent to a worker once.
+    """
+    if unknown := [n for n in names if n not in engines]:
+        raise ValueError(f"unknown engine {unknown[0]}; there are {', '.join(engines)}")
+    kind, chosen = dict(pages.dtypes)[page], [(i, n, engines[n]) for i, n in enumerate(names)]
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, images = batch.column(page).to_pylist(), batch.column(image).to_pylist()
+            fine, rows = [k for k, x in enumerate(images) if x is not None], []
+            for i, name, engine in chosen:
+                got = {k: ("", 0.0, "no image") for k in range(len(ids))}
+                try:
+                    told = engine([images[k] for k in fine]) if fine else []
+                    got |= {k: (t, c, None) for k, (t, c) in zip(fine, told, strict=True)}
+                except Exception as failed:  # the engine's own errors
+                    got |= {k: ("", 0.0, str(failed)[:500]) for k in fine}
+                rows += [(ids[k], i, name, *got[k]) for k in range(len(ids))]
+            types = (batch.schema.field(page).type, pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string())
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=[page, "engine_ord", "engine", "text", "confidence", "error"])
+
+    return pages.select(page, image).mapInArrow(work, f"`{page}` {kind}, engine_ord int, engine string, text string, confidence double, error string")

@@ -61,3 +61,8 @@ def change(new: Column, old: Column) -> Column:
 
 def speed_up(sequential: Column, parallel: Column) -> Column:
     return F.coalesce(F.try_divide(sequential, parallel), F.lit(0.0))
+
+
+def gain(chars: Column, best_single: Column) -> Column:
+    """How many percent more characters than the best single engine's; 0 if that has none."""
+    return F.coalesce(F.try_divide((chars - best_single) * 100, best_single), F.lit(0.0))

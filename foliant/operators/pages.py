@@ -42,3 +42,8 @@ def display_totals(df: DataFrame, doc: str) -> DataFrame:
 def placeholder(error: Column, text: Column, confidence: Column) -> list[Column]:
     """text and confidence of a page; a failed page keeps its row, with an empty text and confidence 0."""
     return [F.when(error.isNotNull(), "").otherwise(text).alias("text"), F.when(error.isNotNull(), 0.0).otherwise(confidence).alias("confidence"), error.alias("error")]
+
+
+def response(df: DataFrame, image: str = "original_image") -> DataFrame:
+    """Pages as they are given out: without the picture, which then isn't read either."""
+    return df.drop(image)

@@ -50,7 +50,7 @@ def size_mb(length: Column) -> Column:
 
 
 def data_url(image: Column, mime: str = "image/png") -> Column:
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(image))
+    return F.concat(F.lit(f"data:{mime};base64,"), F.translate(F.base64(image), "\r\n", ""))  # on one line
 
 
 def pages(files: DataFrame, render: Callable[[bytes], list[bytes]] | None = None) -> DataFrame:
@@ -96,3 +96,67 @@ def write_comparison(df: DataFrame, path: str, original: str = "original", enhan
     """Lines with both texts, one above the other, and their lengths."""
     line = F.concat(F.lit("original ("), F.length(original).cast("string"), F.lit("):\n"), F.col(original), F.lit("\nenhanced ("), F.length(enhanced).cast("string"), F.lit("):\n"), F.col(enhanced))
     df.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def _place(uri: str):
+    """(file system, path in it) of a folder: a local path, or the address of a store that pyarrow knows."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri if ":/" in uri else "file://" + uri)
+
+
+def store(df: DataFrame, root: str, path: str = "path", content: str = "content") -> DataFrame:
+    """Write each row's bytes to its path below root; the scheme of root tells the store. Gives path, length and error.
+
+    Files come to stand under their names whole. The writing happens when the
+    result is read, on the executors, and again if a task is repeated, with the
+    same outcome.
+    """
+
+    def work(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        system, base = _place(root)
+        for batch in batches:
+            lengths, errors = [], []
+            for name, body in zip(batch.column(path).to_pylist(), batch.column(content).to_pylist()):
+                try:
+                    at = f"{base.rstrip('/')}/{name}"
+                    folder, _, last = at.rpartition("/")
+                    system.create_dir(folder, recursive=True)
+                    began = f"{folder}/.{last}.{uuid.uuid4().hex}"
+                    with system.open_output_stream(began, compression=None) as out:
+                        out.write(body)
+                    system.move(began, at)
+                    lengths.append(len(body))
+                    errors.append(None)
+                except (OSError, TypeError) as failed:  # the store's errors, and a null path or content
+                    lengths.append(None)
+                    errors.append(str(failed)[:500])
+            yield pa.RecordBatch.from_arrays([batch.column(path), pa.array(lengths, pa.int64()), pa.array(errors, pa.string())], names=["path", "length", "error"])
+
+    return df.select(F.col(path).alias(path), content).mapInArrow(work, "path string, length long, error string")
+
+
+def fetch(df: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """Read the bytes of each row's path below root: path, content and error."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        system, base = _place(root)
+        for batch in batches:
+            for name in batch.column(path).to_pylist():  # a file at a time is held
+                body, error = None, None
+                try:
+                    with system.open_input_stream(f"{base.rstrip('/')}/{name}", compression=None) as stream:
+                        body = stream.read()
+                except OSError as failed:
+                    error = str(failed)[:500]
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([body], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error"])
+
+    return df.select(path).mapInArrow(work, "path string, content binary, error string")

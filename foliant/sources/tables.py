@@ -31,7 +31,8 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than there are cores, such as one small file, dealt to all of them; larger ones are left as they are, without a shuffle."""
+def spread(scan: DataFrame, most: int = 256 << 20) -> DataFrame:
+    """A scan of most bytes at most with fewer partitions than there are cores, such as one small file, dealt to all of them. Larger ones are left as they are: their files are split by size, and a shuffle would cost more."""
+    small = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if small and scan.rdd.getNumPartitions() < cores else scan
