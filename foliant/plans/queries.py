@@ -161,10 +161,11 @@ def apply_first_correction(spark, sf_dir):
     return transcripts(spark, sf_dir).select("doc_id", rules.replace_first(F.col("text"), F.lit("土"), F.lit("<土>")).alias("text"))
 
 
-@query("SELECT o_orderkey AS doc_id, make_date(CAST(year(o_orderdate) - 1911 + 1911 AS BIGINT), CAST(month(o_orderdate) AS BIGINT), CAST(day(o_orderdate) AS BIGINT)) AS day FROM orders")
+@query("SELECT o_orderkey AS doc_id, try_cast(concat_ws('-', year(o_orderdate), month(o_orderdate) + o_orderkey % 2, day(o_orderdate) + o_orderkey % 3) AS DATE) AS day FROM orders")
 def gregorian_date(spark, sf_dir):
-    d = F.col("o_orderdate")
-    return R.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.make_date(F.year(d) - 1911 + 1911, F.month(d), F.dayofmonth(d)).alias("day"))
+    """Dates counted from 1912, some of months and days that don't exist."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey")
+    return R.table(spark, sf_dir, "orders").select(k.alias("doc_id"), rules.gregorian(F.year(d) - 1911, (F.month(d) + k % 2).cast("int"), (F.dayofmonth(d) + k % 3).cast("int")).alias("day"))
 
 
 # --- extraction ----------------------------------------------------------------------------------
@@ -486,9 +487,10 @@ def pagination_meta(spark, sf_dir):
 _LATEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) AS rn FROM ({R.RESULTS})) WHERE rn = 1"
 
 
-@query(f"SELECT d.document_id, c.text, coalesce(a.doc_type, 'unknown') AS doc_type, coalesce(a.extracted_data, '{{}}') AS extracted_data FROM ({R.DOCUMENTS}) d JOIN (SELECT CAST(doc_id AS STRING) AS document_id, text FROM ({R.CONTRACTS}) WHERE doc_id % 2 = 0) c ON c.document_id = d.document_id LEFT JOIN ({_LATEST}) a ON a.document_id = d.document_id")
+@query(f"SELECT d.document_id, c.text, coalesce(a.doc_type, 'unknown') AS doc_type, coalesce(a.extracted_data, '{{}}') AS extracted_data FROM ({R.DOCUMENTS}) d JOIN (SELECT CAST(doc_id AS STRING) AS document_id, text FROM ({R.CONTRACTS}) WHERE state <> 'P') c ON c.document_id = d.document_id LEFT JOIN ({_LATEST}) a ON a.document_id = d.document_id")
 def context_join(spark, sf_dir):
-    t = contracts(spark, sf_dir).where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    """What is asked with a question; a document whose order is pending has no text yet."""
+    t = contracts(spark, sf_dir).where("state <> 'P'").select(F.col("doc_id").cast("string").alias("document_id"), "text")
     a = relational.latest(results(spark, sf_dir), "document_id", "created_at", "id").select("document_id", "doc_type", "extracted_data")
     return relational.with_context(stored(spark, sf_dir).select("document_id"), t, a)
 
@@ -678,7 +680,15 @@ def resolution_plan(spark, sf_dir):
 # --- whole chain, streams, extensions --------------------------------------------------------------------
 
 
-@query()
+_COUNTED = f"CAST(len(regexp_extract_all(text, {_q(rules.LAND_NUMBER[0])})) + len(regexp_extract_all(text, {_q(rules.ROC_DATE)})) + {_hits('text', rules.FIELD_NAMES)} AS BIGINT)"
+
+
+@query(f"""
+    WITH f AS (SELECT doc_id, fixed AS text, typo_fixes FROM ({_typos(R.CONTRACTS)})),
+         g AS (SELECT doc_id, typo_fixes, {_COUNTED} AS format_corrections, {_FORMATTED} AS text FROM f),
+         c AS (SELECT doc_id, typo_fixes, format_corrections, {_CLEAN} AS text FROM g)
+    SELECT doc_id, text, 1::BIGINT AS total_pages, 0::BIGINT AS llm_pages_used, typo_fixes, format_corrections FROM c
+""")
 def analyze_contracts(spark, sf_dir):
     """The contract chain: clean-up, model step (offline), extraction, one row a document."""
     p = contracts(spark, sf_dir).select("doc_id", F.lit(1).alias("page_number"), F.col("text").alias("raw_text"), F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("error"))
@@ -691,14 +701,18 @@ def rate_limit_window(spark, sf_dir):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
-def stream_lifecycle(spark, sf_dir):
-    """Documents as a stream of one trigger through their states; failed where the text is shorter than 50 characters."""
-    import tempfile
+def _shared(spark, name: str) -> str:
+    """A new folder that all executors see."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    root = f"{root}/lifecycle-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(doc_id AS STRING) AS document_id, concat_ws('/', source, doc_id) AS file_name, CASE WHEN length(text) < 50 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN length(text) < 50 THEN 'unreadable' END AS error_message FROM documents")
+def stream_lifecycle(spark, sf_dir):
+    """Documents as a stream of one trigger through their states; failed where the text is shorter than 50 characters."""
+    root = _shared(spark, "lifecycle")
     source = spark.readStream.schema(R.table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
     stream = source.select(F.col("doc_id").cast("string").alias("document_id"), F.concat_ws("/", "source", "doc_id").alias("file_name"), F.col("text").alias("content"))
 
@@ -749,3 +763,176 @@ def nested_children(spark, sf_dir):
 def compression_totals(spark, sf_dir):
     e = R.table(spark, sf_dir, "events").select(F.col("value").alias("length"), (F.col("value") / 2).alias("new_length"), F.when(F.col("event_type") == "error", "broken").alias("error"))
     return imaging.compression_totals(e, 50).withColumn("space_saved", F.round("space_saved", 4))
+
+
+# --- model steps with stand-ins for the model, engines, files ------------------------------------------
+
+
+def _text_of(prompt: str) -> str:
+    return prompt.partition("\n---\n")[2]
+
+
+def _model(answer):
+    """A provider that answers from the text a prompt is about; a token is four characters."""
+
+    def provide(prompts):
+        told = [(p, answer(_text_of(p))) for p in prompts]
+        return [(a, len(p) // 4, len(a) // 4, None) for p, a in told]
+
+    return provide
+
+
+_GATED = f"SELECT *, doc_id % 10 < 8 AS used, contains(text, 'ot plain') AS refused FROM ({R.TRANSCRIPTS})"
+
+
+@query(f"SELECT doc_id, used, CASE WHEN used AND NOT refused THEN replace(text, 'O', '0') ELSE text END AS corrected FROM ({_GATED})")
+def llm_correct_text(spark, sf_dir):
+    """Whole texts below the confidence of 0.85 are corrected; the stand-in refuses some."""
+    provider = _model(lambda t: "I'm sorry, I can't help." if "ot plain" in t else t.replace("O", "0"))
+    gate = models.strategy(F.lit(True), F.lit("auto"), F.col("confidence")) == "full"
+    df = transcripts(spark, sf_dir).withColumn("confidence", (F.col("doc_id") % 10 + 0.7) / 10)
+    return models.correct(df, provider, gate).select("doc_id", "used", "corrected")
+
+
+def _fields_corrected() -> str:
+    told = {k: f"replace({k}, ' ', '')" for k in P.CANDIDATES}
+    told["land_number"] = f"CASE WHEN regexp_matches({told['land_number']}, {_q(P.LAND_NUMBER_FORM)}) THEN {told['land_number']} ELSE land_number END"
+    sql = f"SELECT doc_id, text, {', '.join(f'coalesce({", ".join(_first("text", p, g) for p, g in v)}) AS {k}' for k, v in P.CANDIDATES.items())} FROM ({R.TRANSCRIPTS})"
+    for k, x in told.items():
+        put = f"CASE WHEN {x} <> {k} AND instr(text, {k}) > 0 THEN substring(text, 1, instr(text, {k}) - 1) || {x} || substring(text, instr(text, {k}) + length({k})) ELSE text END"
+        sql = f"SELECT * REPLACE ({put} AS text) FROM ({sql})"
+    return f"SELECT doc_id, text AS corrected FROM ({sql})"
+
+
+@query(_fields_corrected())
+def llm_correct_fields(spark, sf_dir):
+    """Field candidates asked about one by one; the stand-in takes out blanks."""
+    return models.correct_fields(transcripts(spark, sf_dir), _model(lambda t: t.replace(" ", ""))).select("doc_id", "corrected")
+
+
+@query(f"SELECT doc_id, CASE WHEN contains(text, '租金') THEN 'lease_contract' ELSE 'unknown' END AS doc_type, CASE WHEN contains(text, '租金') THEN 100.0 ELSE 12.5 END::DOUBLE AS confidence FROM ({R.CONTRACTS})")
+def llm_classify(spark, sf_dir):
+    provider = _model(lambda t: '```json {"doc_type": "lease_contract", "confidence": 140} ```' if "租金" in t else 'Well: {"doc_type": "letter", "confidence": "12.5"}')
+    asked = models.ask(contracts(spark, sf_dir), models.classification_prompt(F.col("text")), provider)
+    return asked.select("doc_id", models.parse_classification(F.col("answer.text")).alias("c")).select("doc_id", "c.doc_type", "c.confidence")
+
+
+@query(f"SELECT doc_id, CASE WHEN state = 'O' THEN 'rent of ' || CAST(doc_id AS STRING) END AS rent, CASE WHEN state = 'O' THEN CAST(NULL AS STRING) END AS deposit FROM ({R.CONTRACTS})")
+def llm_extract(spark, sf_dir):
+    """Fields of leases; the stand-in leaves the deposit open, and has an empty object for other kinds."""
+    df = contracts(spark, sf_dir).withColumn("kind", F.when(F.col("state") == "O", "lease_contract").otherwise("letter"))
+    numbered = F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))
+
+    def provider(prompts):
+        answers = [f'{{"rent": "rent of {_text_of(p).partition(chr(10))[0]}", "deposit": "null"}}' if '"deposit"' in p else "{}" for p in prompts]
+        return [(a, 1, 1, None) for a in answers]
+
+    asked = models.ask(df, models.extraction_prompt(F.col("kind"), numbered), provider).withColumn("got", models.parse_fields(F.col("answer.text")))
+    return asked.select("doc_id", F.try_element_at("got", F.lit("rent")).alias("rent"), F.try_element_at("got", F.lit("deposit")).alias("deposit"))
+
+
+@query("SELECT conv_id, turn, substring(text, 1, 20) AS summary FROM conversations")
+def llm_summary(spark, sf_dir):
+    asked = models.ask(R.table(spark, sf_dir, "conversations"), models.summary_prompt(F.col("text")), _model(lambda t: t[:20]))
+    return asked.select("conv_id", "turn", F.col("answer.text").alias("summary"))
+
+
+_TIDY = len(models.TIDY_TASK) + len(models.DASHES)
+
+
+@query(f"SELECT count(*) AS llm_calls, CAST(sum(({_TIDY} + length(text)) // 4 + length(text) // 4) AS BIGINT) AS tokens_used, round(sum(({_TIDY} + length(text)) // 4) * 2.5 / 1e6 + sum(length(text) // 4) * 10 / 1e6, 6) AS estimated_cost FROM conversations WHERE role = 'user'")
+def llm_stats(spark, sf_dir):
+    """Turns of users are tidied; only these count."""
+    asked = models.ask(R.table(spark, sf_dir, "conversations"), models.tidy_prompt(F.col("text")), _model(str), gate=F.col("role") == "user")
+    return models.stats(asked, "openai", "gpt-4o").withColumn("estimated_cost", F.round("estimated_cost", 6))
+
+
+@query("SELECT conv_id, turn, md5(json_object('ocr_text', text, 'doc_type', 'unknown', 'extracted_data', '{}', 'question', 'Who pays?')) AS asked_md5 FROM conversations")
+def llm_questions(spark, sf_dir):
+    asked = processors.answer_questions(R.table(spark, sf_dir, "conversations"), F.lit("Who pays?"), models.offline)
+    return asked.select("conv_id", "turn", F.md5("answer.text").alias("asked_md5"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_q(k)}, {_q(v)})" for k, v in models.DEFAULT_MODELS.items()) + ") AS t(provider, model)")
+def provider_defaults(spark, sf_dir):
+    return spark.createDataFrame([(k, models.provider_options(k, "key")["model"]) for k in models.DEFAULT_MODELS], "provider string, model string")
+
+
+@query("SELECT doc_id AS page_id, engine, CASE WHEN text IS NULL THEN md5('') WHEN engine = 'tesseract' THEN md5(replace(text, 'e', 'E')) ELSE md5(text) END AS text_md5, CASE WHEN text IS NULL THEN 0 WHEN engine = 'tesseract' THEN 0.5 ELSE 0.75 END::DOUBLE AS confidence, CASE WHEN text IS NULL THEN 'no image' END AS error FROM documents, (VALUES ('paddleocr'), ('tesseract')) AS e(engine)")
+def engine_results(spark, sf_dir):
+    """Two stand-ins for engines over every page, which is the text's bytes."""
+    known = {"tesseract": lambda images: [(x.decode().replace("e", "E"), 0.5) for x in images], "paddleocr": lambda images: [(x.decode(), 0.75) for x in images]}
+    pages_ = R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.encode("text", "utf-8").alias("image"))
+    return fusion.recognise(pages_, ["paddleocr", "tesseract"], known).select("page_id", "engine", F.md5("text").alias("text_md5"), "confidence", "error")
+
+
+@query(ORACLE_SQL["fuse_smart"])
+def fuse_other(spark, sf_dir):
+    """An unknown method is taken as smart."""
+    return fusion.fuse(engines(spark, sf_dir), "other").select("page_id", F.md5("text").alias("text_md5"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 > 3 OR p_partkey % 5 < 1 THEN 'UNSUPPORTED_FILE_TYPE' WHEN p_size * 400000 > 10485760 THEN 'FILE_TOO_LARGE' END AS error FROM part")
+def validate_document(spark, sf_dir):
+    mime = F.element_at(F.array(*map(F.lit, ("text/plain", *validate.MIME_TYPES[:3], "application/zip"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return R.table(spark, sf_dir, "part").select("p_partkey", validate.document_error(mime, F.col("p_size") * 400_000).alias("error"))
+
+
+@query("SELECT conv_id, text FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE turn = 2 AND n >= 2")
+def one_page(spark, sf_dir):
+    turns = R.table(spark, sf_dir, "conversations")
+    counted = turns.join(turns.groupBy("conv_id").agg(F.count("*").alias("total_pages")), "conv_id").withColumn("page_number", F.col("turn"))
+    return files.one_page(counted, 2).select("conv_id", "text")
+
+
+@query("SELECT page_id, md5('data:image/png;base64,' || base64(encode(html))) AS url_md5, round(octet_length(encode(html)) / 1048576.0::DOUBLE, 8) AS size_mb FROM pages")
+def data_urls(spark, sf_dir):
+    body = F.encode("html", "utf-8")
+    return R.table(spark, sf_dir, "pages").select("page_id", F.md5(files.data_url(body)).alias("url_md5"), F.round(files.size_mb(F.octet_length(body)), 8).alias("size_mb"))
+
+
+@query("SELECT conv_id AS doc_id, turn AS page_number, text AS raw_text FROM conversations")
+def page_response(spark, sf_dir):
+    picture = F.encode("raw_text", "utf-8")
+    return pages.response(conversation_pages(spark, sf_dir).select("doc_id", "page_number", "raw_text", picture.alias("original_image")))
+
+
+@query("SELECT user_id, round(CASE WHEN max(value) = 0 THEN 0 ELSE (sum(value) - max(value)) * 100 / max(value) END, 4) AS gain FROM events GROUP BY user_id")
+def engine_gain(spark, sf_dir):
+    return R.table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(metrics.gain(F.sum("value"), F.max("value")), 4).alias("gain"))
+
+
+@query("SELECT 'items/' || CAST(item_id AS STRING) || '.txt' AS path, octet_length(encode(text)) AS length, sha256(text) AS content_sha256 FROM benchmark")
+def stored_files(spark, sf_dir):
+    """Texts written as files to the shared folder, and read back."""
+    root = _shared(spark, "stored-files")
+    rows = R.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("items/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "utf-8").alias("content"))
+    written = files.store(rows, root).where("error is null").select("path")
+    return files.fetch(written, root).select("path", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("content_sha256"))
+
+
+_image("image_contrast", imaging.more_contrast)
+_image("image_at_least", lambda image: imaging.at_least(image, 64))
+
+
+@query()
+def image_preprocess(spark, sf_dir):
+    """Watermark, binarisation and noise, in colour images."""
+    colour = images(spark, sf_dir, width=10, channels=3)
+    kernel = lambda image: imaging.preprocess(image, method="gaussian", blur=3, target=None)
+    return colour.select("doc_id", F.sha2(imaging.over_pixels(kernel)(*map(F.col, ("pixels", "height", "width", "channels"))), 256).alias("pixels_sha256"))
+
+
+@query()
+def image_diagnosis(spark, sf_dir):
+    """Measures of colour images and their bands."""
+    got = images(spark, sf_dir, width=10, channels=3).select("doc_id", imaging.measures()(*map(F.col, ("pixels", "height", "width", "channels"))).alias("m"))
+    m = F.col("m")
+    return got.select("doc_id", F.round(m["dpi"], 4).alias("dpi"), F.round(m["sharpness"], 4).alias("sharpness"), m["contrast"].alias("contrast"), F.round(m["red_percent"], 4).alias("red_percent"), m["text_height"].alias("text_height"), F.to_json(imaging.quality_bands(m["dpi"], m["sharpness"], m["contrast"], m["red_percent"], m["text_height"])).alias("bands"))
+
+
+@query()
+def image_configs(spark, sf_dir):
+    """Every image with and without binarisation, read by a stand-in that counts light rows."""
+    configs = {"plain": {"watermark": False, "target": None}, "mean": {"watermark": False, "method": "mean", "target": None}}
+    return imaging.compare_configs(images(spark, sf_dir), configs, lambda image: "x" * int((image.mean(axis=1) > 128).sum()), ("x",), "doc_id")

@@ -55,7 +55,7 @@ FROM part
 ENGINES = """
 SELECT doc_id AS page_id, 0 AS engine_ord, 'paddleocr' AS engine, text, CAST(doc_id % 5 AS DOUBLE) / 5 AS confidence FROM documents
 UNION ALL SELECT doc_id, 1, 'tesseract', replace(text, 'e', 'E'), CAST(doc_id % 3 AS DOUBLE) / 5 FROM documents
-UNION ALL SELECT doc_id, 2, 'textract', substring(text, 1, 200) || ' 土地 地號', CAST(doc_id % 4 AS DOUBLE) / 5 FROM documents
+UNION ALL SELECT doc_id, 2, 'textract', replace(text, 'a', 'A') || ' 土地 地號', CAST(doc_id % 4 AS DOUBLE) / 5 FROM documents
 """
 
 #: Pages of a document: turns of a conversation, with what rules and models would have made of them.
