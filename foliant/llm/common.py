@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -19,28 +18,34 @@ WORD = r"[^\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+def bounded_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch brings into a Python worker, whatever the texts' lengths.
 
-    The setting is read when a plan runs, so it stays set for the session.
+    The settings are read when a plan runs, so they stay set for the session;
+    they are the same for all operators, and what the session sets lower stays.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    for key, most in (("maxRecordsPerBatch", 512), ("maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     root = str(Path(__file__).resolve().parents[2])
     if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):  # workers find the package where it isn't installed
         spark.sparkContext.environment.setdefault("PYTHONPATH", root)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors see: spark.checkpoint.dir of the session; only where unset (tests), one of our own."""
+    """A folder that all executors see: spark.checkpoint.dir of the session; only where unset (tests), one in the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(at)
-        return at.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+        spark.sparkContext.setCheckpointDir(at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/foliant-shared")
+    return (at or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def partitions_for(df: DataFrame, each: int = 128 << 20) -> int:
+    """Partitions for a shuffle of df: spark.sql.shuffle.partitions at least, else so many that one has about `each` bytes of what is read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= 1 << 60 else max(least, -(-size // each))  # an unknown size is given as a huge one
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -152,11 +157,24 @@ def open_fs(uri: str):
 
 
 def write_whole(uri: str, name: str, parts: Iterable[bytes]) -> None:
-    """Write a file under another name, then rename it: a task that is lost or runs twice leaves whole files only."""
+    """Write a file under another name, then rename it: a task that is lost or runs twice leaves whole files only.
+
+    The same name always has the same bytes, so a file that stands there already is left.
+    """
+    from pyarrow import fs
+
     system, folder = open_fs(uri)
     system.create_dir(folder, recursive=True)
+    there = lambda: system.get_file_info(f"{folder}/{name}").type == fs.FileType.File
+    if there():
+        return
     began = f"{folder}/.{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(began, compression=None) as out:
         for part in parts:
             out.write(part)
-    system.move(began, f"{folder}/{name}")
+    try:
+        system.move(began, f"{folder}/{name}")
+    except OSError:  # some stores don't rename onto a file that another attempt has made meanwhile
+        if not there():
+            raise
+        system.delete_file(began)
