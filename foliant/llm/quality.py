@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     """Learn from about per_class labelled documents of each class, chosen by their id's hash; that many are broadcast, too."""
     spark = docs.sparkSession
     shared_dir(spark)
-    bounded_batches(spark, 128)
+    bounded_batches(spark)
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not sizes:
@@ -174,12 +174,12 @@ def vote(model: Model, texts: list[str], neighbours: int = 15, block: int = 64)
         some = texts[i : i + block]
         counts = term_counts(some + [""] * (block - len(some)))
         v = _unit((_frequencies(counts) * model.weight) @ model.axes)
-        near = (v @ model.vectors.T)[: len(some)]
+        near = np.round((v @ model.vectors.T)[: len(some)], 6)  # beyond that, equal vectors differ by their place in a product
         k = min(neighbours, near.shape[1])
         least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
         above, level = near > least, near == least
         chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
-        sim = np.where(chosen, np.maximum(near, 0.01) ** 8 * model.votes, 0)
+        sim = np.where(chosen, np.maximum(near, 0.01) ** 8 * model.votes, 0).astype(np.float64)
         out.append((sim * model.labels).sum(axis=1) / sim.sum(axis=1))
     return np.concatenate(out) if out else np.zeros(0)
 
