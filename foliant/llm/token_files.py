@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import arrow_map, bounded_batches, fresh_path, open_fs, stage, write_whole
+from foliant.llm.common import arrow_map, bounded_batches, fresh_path, open_fs, partitions_for, stage, write_whole
 from foliant.llm.pieces import library_encoder
 
 MAGIC = int.from_bytes(b"FOLS8B01", "little")
@@ -154,14 +154,15 @@ MANIFEST = "part int, number int, name string, n_docs long, n_ids long, n_words
 def write_documents(docs: DataFrame, tokenizer: str, end_id: int, uri: str, text: str = "text", doc_id: str = "doc_id", most: int = 4_000_000) -> DataFrame:
     """Encode, append end_id to each document, and write files below uri in ascending doc_id. Returns the manifest (MANIFEST), already written.
 
-    Documents are dealt to range partitions by doc_id and sorted there by Spark,
-    which spills; a task holds the ids of one unfinished file, most ids, at once.
+    Documents are dealt to range partitions by doc_id and a hash of the text, so
+    that many rows of one doc_id don't meet in one task, and sorted there by
+    Spark, which spills; a task holds the ids of one unfinished file, most ids, at
+    once. The number of partitions follows the bytes that docs reads.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    placed = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("place", F.xxhash64("text"))
+    placed = rows.repartitionByRange(partitions_for(docs), "doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
 
     def work(batches):
         from pyspark import TaskContext
@@ -222,7 +223,7 @@ def read_documents(manifest: DataFrame, uri: str, ids: bool = False) -> DataFram
                 out = {"doc_id": doc_ids, "start": starts + int(header[5]) + offset[int(header[6])], "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(x.tobytes()) for x in each]}
                 yield out | ({"token_ids": [x.astype(np.int64) for x in each]} if ids else {})
 
-    spread = manifest.select("name").repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "name")
+    spread = manifest.select("name").repartition(max(len(order), 1), "name")
     return arrow_map(spread, work, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<long>" * ids)
 
 

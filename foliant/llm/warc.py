@@ -27,7 +27,7 @@ from urllib.parse import quote, unquote, urlsplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import arrow_map, bounded_batches, fresh_path, join_groups, open_fs, stage, write_whole
+from foliant.llm.common import arrow_map, bounded_batches, fresh_path, join_groups, open_fs, partitions_for, stage, write_whole
 
 MIN_REVISIT = 100
 _SPACE = uuid.UUID(int=0x666F6C69616E74)
@@ -154,15 +154,14 @@ def _order(c: dict) -> tuple:
 def write_archives(pages: DataFrame, uri: str, most: int = 32 << 20) -> DataFrame:
     """Write archives of about most bytes each below uri; returns their names, already written. A task holds one unfinished archive."""
     spark = pages.sparkSession
-    bounded_batches(spark, 256)
+    bounded_batches(spark)
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
     row_key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "digest").alias("row_key")
     small = stage(rows.select("page_id", "digest", row_key).where(F.octet_length("html") >= MIN_REVISIT), "page-digests")
     groups = small.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     shared = join_groups(small, groups, "digest", "n", small.count()).groupBy("row_key").agg(F.first("first_id").alias("first_id")).withColumn("shared", F.lit(True))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("row_key", row_key).repartition(parts, "row_key")  # equal rows meet, and the join needs no other exchange of payloads
+    dealt = rows.withColumn("row_key", row_key).repartition(partitions_for(pages), "row_key")  # equal rows meet, and the join needs no other exchange of payloads
     marked = dealt.join(shared, "row_key", "left").select("page_id", "url", "html", "digest", F.coalesce("shared", F.lit(False)).alias("shared"), "first_id")
     placed = marked.sortWithinPartitions("page_id", "digest", "url")
 
@@ -194,9 +193,9 @@ def write_archives(pages: DataFrame, uri: str, most: int = 32 << 20) -> DataFram
     return stage(arrow_map(placed, work, "archive string"), "archives")
 
 
-def _boundaries(pages: DataFrame, ranges: int, sample: int = 20_000) -> list[tuple]:
-    """Keys that cut the captures into about equal ranges, from a sample of at most a few times `sample` pages by their id's hash. They steer balance only."""
-    n = pages.count()
+def _boundaries(pages: DataFrame, ranges: int, n: int, each: int = 20) -> list[tuple]:
+    """Keys that cut n captures into about equal ranges, from a sample by their ids' hash: about `each` for a range, 20,000 at least, and at most four times as many. They steer balance only."""
+    sample = max(20_000, each * ranges)
     share = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, n))) + 1)
     got = sorted((url_key(r["url"]), stamp(r["page_id"])) for r in pages.select(F.col("page_id").cast("long").alias("page_id"), "url").where(share).limit(4 * sample).collect())
     return [got[i * len(got) // ranges] for i in range(1, ranges)] if got else []
@@ -204,7 +203,7 @@ def _boundaries(pages: DataFrame, ranges: int, sample: int = 20_000) -> list[tup
 
 def read_runs(archives: DataFrame, uri: str, cuts: list[tuple], chunk: int = 2000) -> DataFrame:
     """Read every record back. Each archive is a run: its captures, sorted, in chunks (range, run, number, body)."""
-    bounded_batches(archives.sparkSession, 16)
+    bounded_batches(archives.sparkSession)
 
     def work(batches):
         for batch in batches:
@@ -220,8 +219,7 @@ def read_runs(archives: DataFrame, uri: str, cuts: list[tuple], chunk: int = 200
                     for i in range(0, len(rows), chunk):
                         yield {"range": [k], "run": [name], "number": [i // chunk], "body": [json.dumps([[c[f] for f in FIELDS] for c in rows[i : i + chunk]]).encode()]}
 
-    parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stage(arrow_map(archives.repartition(parts, "archive"), work, "range int, run string, number int, body binary"), "capture-runs")
+    return stage(arrow_map(archives.repartition(max(1, archives.count()), "archive"), work, "range int, run string, number int, body binary"), "capture-runs")
 
 
 HISTORY = "url_key string, stamp string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
@@ -263,5 +261,6 @@ def capture_history(pages: DataFrame, captures_per_range: int = 100_000) -> Data
     spark = pages.sparkSession
     uri = fresh_path(spark, "warc")
     archives = write_archives(pages, uri)
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // captures_per_range))
-    return merge_runs(read_runs(archives, uri, _boundaries(pages, ranges)), ranges)
+    n = pages.count()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // captures_per_range))
+    return merge_runs(read_runs(archives, uri, _boundaries(pages, ranges, n)), ranges)
