@@ -23,7 +23,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import WORD, bounded_batches, shared_dir, stage
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int = MAX
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    bounded_batches(spark, 4096)
+    bounded_batches(spark)
     units = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")), "mix-sizes")
     per = units.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(per) > max_sources:
@@ -153,12 +153,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeat: int = MAX
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The rows of the mix, all columns kept: each document as many times as it is taken.
+    """The rows of the mix, all columns kept: each row as many times as it is taken.
 
-    Rows that are equal in id, source and size get the same number of copies, the largest of theirs.
+    Rows are found by id and source. Where several share these, they are told
+    by their size, and those of one size get the copies of that size one by one.
     """
-    mixed = mix(docs, weights, text=text, doc_id=doc_id, source=source)
-    taken = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    sized = docs.withColumn("__words", word_count(text))
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    return sized.join(taken, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    keys, names = ["__id", "__source"], [F.col(doc_id), F.col(source)]
+    mixed = stage(mix(docs, weights, text=text, doc_id=doc_id, source=source).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")), "mix-copies")
+    groups = mixed.groupBy(*keys).agg(F.count("*").alias("__n"), F.max("__copies").alias("__copies"))
+    same = names[0].eqNullSafe(F.col("__id")) & names[1].eqNullSafe(F.col("__source"))
+    copy = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
+    out = docs.join(groups.where("__n = 1 and __copies > 0"), same).select(*docs.columns, copy)
+    several = groups.where("__n > 1").select(*keys)
+    if several.limit(1).count():
+        at = Window.partitionBy(*keys, "__size")
+        dealt = mixed.join(several.withColumnsRenamed({"__id": "__i", "__source": "__s"}), F.col("__id").eqNullSafe(F.col("__i")) & F.col("__source").eqNullSafe(F.col("__s"))).select(*keys, "__size", "__copies", F.row_number().over(at.orderBy(F.desc("__copies"))).alias("__place"))
+        rows = docs.join(several, same).withColumn("__size", word_count(text)).withColumn("__place", F.row_number().over(at.orderBy(F.xxhash64(text), text)))
+        rows = rows.withColumnsRenamed({"__size": "__words", "__place": "__row"}).drop(*keys)
+        more = rows.join(dealt.where("__copies > 0"), same & (F.col("__words") == F.col("__size")) & (F.col("__row") == F.col("__place")))
+        out = out.unionByName(more.select(*docs.columns, copy))
+    return out.drop("__copy")
