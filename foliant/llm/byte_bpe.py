@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from foliant.llm.common import arrow_map, bounded_batches, keep_in_worker
-from foliant.llm.pieces import SIGNS, Remembered, chunks, pattern
+from foliant.llm.pieces import PUBLISHED, SIGNS, Remembered, chunks, pattern
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -155,11 +155,12 @@ def pack_ids(ids: list[int]) -> bytes:
 
 
 class TextEncoder:
-    """Whole texts: pieces by the published pattern, each encoded separately; chunks between plain spaces are remembered."""
+    """Whole texts: pieces by the published pattern, each encoded separately; chunks between plain spaces are remembered. Texts for another pattern than the published one are given to it whole."""
 
     def __init__(self, path: str, published: str):
         self.pieces = PrefixEncoder(read_ranks(path))
-        self.split = pattern(published).findall
+        self.split, self.known = pattern(published).findall, published == PUBLISHED
+        self.pieces_of = pattern(published).finditer
         self.by_piece = Remembered(lambda p: pack_ids(self.pieces.encode(p.encode())), most=100_000)
         self.bare = Remembered(self._chunk, most=50_000)
         self.lead = Remembered(self._word, most=500_000)
@@ -180,6 +181,8 @@ class TextEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if not self.known:
+            return b"".join([self.by_piece[m.group()] for m in self.pieces_of(text) if m.group()])
         first, *rest = chunks(text)
         return b"".join([self.bare[first], *map(self.lead.__getitem__, rest)])
 

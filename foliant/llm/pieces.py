@@ -17,6 +17,8 @@ import numpy as np
 from foliant.llm.common import keep_in_worker
 from foliant.llm.shingles import mixed, powers
 
+# Fixed value: the split pattern for which chunks() holds; texts for other patterns are not cut.
+PUBLISHED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SIGNS = ".,!?;:"
 _GROUP = 1 << 20
 _UNSAFE = re.compile(r"\s\s|\A\s|\s\Z")
