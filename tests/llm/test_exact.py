@@ -81,6 +81,41 @@ def test_bpe_is_the_librarys():
         assert ids.tolist() == enc.encode_ordinary(t) and own.decode(ids).decode() == t
 
 
+def test_encode_documents(spark):
+    import hashlib
+
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    rows = [(1, None), (2, ""), (2, ""), (None, "null id"), (3, "x\n\n y's 12 日本"), (4, "word " * 200_000), (3, "x\n\n y's 12 日本")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_tokens", "'q' as decoded_sha256")
+    got = byte_bpe.encode_documents(df, RANKS, P.PATTERN).collect()
+    want = []
+    for i, t in rows:
+        ids = enc.encode_ordinary(t or "")
+        want.append((i or 0, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
+    assert byte_bpe.encode_documents(df.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+def test_other_patterns():
+    import tiktoken
+
+    for other in (r"\s+|\S+", r"\p{L}+ ?|[^\p{L}]"):
+        enc = tiktoken.Encoding("own", pat_str=other, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+        own = byte_bpe.text_encoder(RANKS, other)
+        for t in ("one two\n three", "a  b", "é 日本 x", ""):
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == enc.encode_ordinary(t)
+
+
+def test_whole_files_are_left(tmp_path):
+    from foliant.llm.common import write_whole
+
+    write_whole(str(tmp_path), "a", [b"one"])
+    write_whole(str(tmp_path), "a", [b"one"])
+    assert [p.name for p in tmp_path.iterdir()] == ["a"] and (tmp_path / "a").read_bytes() == b"one"
+
+
 def test_pairs_and_edits():
     own, rnd = byte_bpe.text_encoder(RANKS, P.PATTERN).pieces, random.Random(2)
     for _ in range(3000):
@@ -152,6 +187,23 @@ def test_token_files(spark):
     assert token_files.token_file_documents(df.limit(0), JSON).count() == 0
 
 
+def test_token_files_of_one_id(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(JSON)
+    rows = [(None if i % 2 else 5, f"text {i} " * (i % 4)) for i in range(200)]
+    got = token_files.token_file_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), JSON).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 100 + [5] * 100
+    sizes = [r.n_tokens for r in got]
+    assert [r.start for r in got] == [0, *np.cumsum(sizes)[:-1].tolist()] and sum(sizes) == sum(len(plain.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
+def test_long_payloads(spark):
+    rows = [(1, "http://a.b/x", "y" * 5_000_000), (2, "http://a.b/x", "y" * 5_000_000), (3, "http://a.b/z", "é" * 2_000_000)]
+    got = warc.capture_history(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [(1, 5_000_000, "response", None), (2, 5_000_000, "revisit", 1), (3, 4_000_000, "response", None)]
+
+
 def test_loser_tree():
     rnd = random.Random(4)
     for _ in range(200):

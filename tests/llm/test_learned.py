@@ -198,6 +198,99 @@ def test_quality(spark, documents):
     assert [r.score for r in quality.score(df, None).orderBy("doc_id").collect()] == [0, 0, 0.5, 0.5, 0.5]
 
 
+def plain_mixture(model, text, steps=12):
+    """Expectation-maximisation over words, one text, in plain loops."""
+    words = re.findall(r"[^\W\d_]+", text)
+    rows = []
+    for w in words:
+        full, context, _, _ = langid.grams([w])
+        rows.append([sum(float(model.follow[f, k]) - float(model.context[c, k]) for f, c in zip(full, context)) for k in range(len(model.languages))])
+    if not rows:
+        return [0.0] * len(model.languages)
+    p = [[np.exp(max(x - max(r), -60)) for x in r] for r in rows]
+
+    def maximise(share):
+        for _ in range(steps):
+            total = [0.0] * len(share)
+            for r in p:
+                z = sum(a * b for a, b in zip(r, share))
+                total = [t + a * b / z for t, a, b in zip(total, r, share)]
+            new = [t / len(p) for t in total]
+            settled = max(abs(a - b) for a, b in zip(new, share)) < 1e-3
+            share = new
+            if settled:
+                break
+        return share, sum(np.log(sum(a * b for a, b in zip(r, share)) + 1e-300) for r in p)
+
+    share, like = maximise([1 / len(model.languages)] * len(model.languages))
+    share = [x if x >= 1e-4 else 0.0 for x in share]
+    share = [x / sum(share) for x in share]
+    while sum(x > 0 for x in share) > 1:
+        least = min((x, i) for i, x in enumerate(share) if x > 0)[1]
+        fewer = [0.0 if i == least else x for i, x in enumerate(share)]
+        tried, tried_like = maximise([x / sum(fewer) for x in fewer])
+        if tried_like + 0.5 * np.log(max(len(p), 2)) < like:
+            break
+        share, like = tried, tried_like
+    return share
+
+
+def test_language_shares_are_the_plain_ones(spark, documents):
+    model = langid.train(documents.where(~held_out()))
+    texts = [r.text or "" for r in documents.orderBy("doc_id").limit(60).collect()] + ["", "123", "the der und of " * 30]
+    got = langid.infer(model, texts)
+    for t, g in zip(texts, got):
+        assert g == pytest.approx(plain_mixture(model, t), abs=2e-5)
+
+
+def test_languages_do_not_depend_on_batches(spark, documents, monkeypatch):
+    model = langid.train(documents.where(~held_out()))
+    texts = [r.text or "" for r in documents.orderBy("doc_id").limit(300).collect()]
+    texts[7] = "Wörter und the other " * 300
+    together = langid.infer(model, texts)
+    assert (together == np.concatenate([langid.infer(model, [t]) for t in texts])).all()
+    monkeypatch.setattr(langid, "_SLICE", 1000)  # long texts are cut between words
+    assert np.abs(together - langid.infer(model, texts)).max() == 0
+    ties = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "doc_id long, text string").withColumns({"score": F.lit("x"), "lang_pred": F.lit(1)})
+    out = langid.identify(ties, model)
+    assert len(set(out.columns)) == len(out.columns) and len({(r.lang_pred, r.score) for r in out.select("lang_pred", "score").collect()}) == 1
+
+
+def plain_vote(model, text, neighbours=15):
+    counts = quality.term_counts([text])[0].astype(float)
+    parts = [np.sqrt(c / max(c.sum(), 1)) for c in (counts[: quality.SHAPES], counts[quality.SHAPES :])]
+    v = (np.concatenate((parts[0], quality.WORDS_COUNT * parts[1])) * model.weight) @ model.axes.astype(float)
+    v /= max(np.linalg.norm(v), 1e-12)
+    near = sorted(((round(float(v @ x), 6), -i) for i, x in enumerate(model.vectors.astype(float))), reverse=True)[:neighbours]
+    weigh = [(max(c, 0.01) ** 8 * float(model.votes[-i]), int(model.labels[-i])) for c, i in near]
+    return sum(w for w, y in weigh if y) / sum(w for w, _ in weigh)
+
+
+def test_quality_is_the_plain_vote(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(documents, labels.where(~held_out()))
+    texts = [r.text or "" for r in documents.orderBy("doc_id").limit(400).collect()]
+    texts += ["", "Hello there", "zz 9!", "line\nline\n\nline", "x" * 1_200_000, "the same words here\n" * 60_000]
+    got = quality.vote(model, texts)
+    assert got == pytest.approx([plain_vote(model, t) for t in texts], abs=2e-3)
+    assert (got == np.concatenate([quality.vote(model, [t]) for t in texts])).all()
+    assert (got == quality.vote(model, texts[::-1], block=64)[::-1]).all()
+    assert (quality.term_counts(["Hello there", "zz 9!", "\n\n", "zz 9!"])[[1, 3]] == quality.term_counts(["zz 9!"])).all()
+
+
+def test_quality_edges(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(documents, labels)
+    df = documents.select("doc_id", "text").withColumns({"predicted": F.lit("p"), "score": F.lit("s")})
+    again = quality.score(df.unionByName(df).repartition(7), model)
+    assert len(set(again.columns)) == len(again.columns)
+    one = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    assert all(one[r.doc_id] == r.score for r in again.collect())  # repeated rows, other batches
+    assert quality.score(df.limit(0), model).count() == 0
+    twins = quality.Model(model.weight, model.axes, np.repeat(model.vectors[:1], 40, axis=0), np.array([1] * 20 + [0] * 20), np.ones(40, dtype=np.float32))
+    assert quality.vote(twins, ["some words"]) == [1.0]  # of equally near ones the first
+
+
 def test_targets():
     t = mixing.targets({"a": 100, "b": 1, "c": 100, None: 0})
     assert t[None] == 0 and t["b"] == 3 and sum(t.values()) == 201 and t["c"] == 3 * t["a"]
@@ -234,23 +327,34 @@ def test_mix_edges(spark):
     assert mixing.apply_mix(df).columns == df.columns
 
 
-def test_nearest(spark):
-    rng = np.random.default_rng(1)
-    centres = rng.standard_normal((20, 16)) * 3
-    x = (centres[rng.integers(0, 20, 3000)] + rng.standard_normal((3000, 16))).astype(np.float32)
-    x[100:140] = x[100]  # more equal vectors than are asked for
-    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+def test_mix_takes_rows(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice([None, 1, 2, *range(20, 60)]), "w " * rnd.choice([0, 1, 3, 3, 50]), rnd.choice([None, "a", "b", "c"])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit(1))
+    want, got = {}, {}
+    for r in mixing.mix(df).collect():
+        want[r.doc_id, r.source, r["size"]] = want.get((r.doc_id, r.source, r["size"]), 0) + r.copies
+    for r in mixing.apply_mix(df).collect():
+        k = r.doc_id, r.source, len((r.text or "").split())
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_mix_ties(spark):
+    rows = [(i, "one two", s) for i in range(300) for s in ("a", "b")]  # all of one size
     got: dict = {}
-    for r in kmeans_tree.search(df, lambda i: i % 100 == 0).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    found, x64 = 0, x.astype(float)
-    for q in range(0, 3000, 100):
-        d = np.sqrt(((x64 - x64[q]) ** 2).sum(axis=1))
-        best = [i for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
-        mine = sorted(got[q])
-        assert [r for r, _, _ in mine] == list(range(1, 11)) and [(s, i) for _, i, s in mine] == sorted((d[i], i) for _, i, _ in mine)
-        found += len(set(best) & {i for _, i, _ in mine})
-    assert found >= 0.9 * 300
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        got.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert all(abs(taken - target) <= 2 for target, taken in got.values())
+
+
+def test_landing_is_the_best_of_all_roundings():
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        size, p = rng.integers(1, 200, 10), rng.random(10)
+        gap = lambda q: abs((size * q).sum() - (size * p).sum()) + abs(q.sum() - p.sum())
+        q = mixing.landing(size, p)
+        assert set(q.tolist()) <= {0.0, 1.0} and gap(q) <= min(gap(np.array(x)) for x in itertools.product((0, 1), repeat=10)) + 1e-9
 
 
 @pytest.mark.parametrize("cut", [1, 7])

@@ -41,3 +41,21 @@ def test_stages(spark, small, tmp_path):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     want = sorted((r.doc_id, hashlib.sha256(np.array(enc.encode_ordinary(r.text), "<u4").tobytes()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()) for r in mixed.collect())
     assert sorted((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in kept[4].collect()) == want
+
+
+def test_stages_take_anything(spark, small, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows: each stage keeps the columns, and what it must."""
+    prose = spark.read.parquet(f"{small}/documents.parquet").select("text").first().text
+    rows = [(1, prose, "en", "a", 1), (1, prose, "en", "a", 1), (None, prose + " more", None, None, None), (None, prose, None, "a", None), (2, None, None, None, 0), (3, "", "en", "b", 0), (4, (prose + " ") * 400, "en", "b", 9), (5, "zz", None, "b", 2), (5, "zz", None, "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, work in corpus_pipeline.STAGES:
+        assert work(spark, docs.limit(0), small).count() == 0, name
+        alone = work(spark, docs, small)
+        alone.write.parquet(str(tmp_path / f"alone-{name}"))
+    read = lambda name: spark.read.parquet(str(tmp_path / f"alone-{name}")).collect()
+    assert {r.doc_id for r in read("language_id")} >= {1, None, 4} and not {2, 3} & {r.doc_id for r in read("language_id")}
+    kept = read("exact_dedup")
+    assert len(kept) == len({t or "" for _, t, *_ in rows}) and sorted(r.text or "" for r in kept) == sorted({t or "" for _, t, *_ in rows})
+    assert {r.doc_id for r in read("jaccard_join")} == {1, 2, 3, 5}  # a text repeated has nearly the same set
+    assert all(r.text for r in read("mix_sources"))
+    assert sorted(r.n_tokens for r in read("byte_bpe"))[:2] == [0, 0] and len(read("byte_bpe")) == len(rows)
