@@ -103,7 +103,21 @@ class Tree:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist() if hasattr(column, "to_pylist") else list(column), dtype=np.float64)
+    """Rows of vectors, which are held as the bytes of their numbers."""
+    held = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
+    return np.frombuffer(b"".join(held), dtype=np.float64).reshape(len(held), -1) if held else np.zeros((0, 1))
+
+
+def _as_bytes(rows: DataFrame) -> DataFrame:
+    """(vec_id, v, key) with v as bytes."""
+
+    def work(batches):
+        for batch in batches:
+            v = batch.column("v")
+            x = v.flatten().to_numpy().reshape(len(v), -1) if len(v) else []
+            yield {"vec_id": batch.column("vec_id"), "v": [row.tobytes() for row in x], "key": batch.column("key")}
+
+    return arrow_map(rows.select("vec_id", "v", "key"), work, "vec_id long, v binary, key string")
 
 
 def _nearest(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, within: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -144,7 +158,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
     spark = vectors.sparkSession
     shared_dir(spark)
     bounded_batches(spark)
-    all_rows = stage(usable(vectors, vec_id, vector), "vectors")
+    all_rows = stage(_as_bytes(usable(vectors, vec_id, vector)), "vectors")
     first = Window.partitionBy("key").orderBy("vec_id")
     rows = all_rows.dropDuplicates(["key", "vec_id"]).withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k + 1).drop("__n")
     rows = stage(rows, "distinct-vectors")
@@ -155,8 +169,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
     leaves = min(MAX_LEAVES, max(1, n // LEAF_ROWS))
     wanted = min(MAX_SAMPLE, leaves * SAMPLE_PER_LEAF)
     sample = rows.where(hashed_share("vec_id", 3) < min(1.0, wanted / n)).select("vec_id", "v").limit(2 * wanted).toArrow().sort_by("vec_id")
-    flat = sample.column("v").combine_chunks().flatten().to_numpy() if len(sample) else None
-    tree = Tree.fit(flat.reshape(len(sample), -1), max(1, len(sample) // leaves)) if len(sample) else Tree(np.zeros((1, 1)), [[]], [0], 1)
+    tree = Tree.fit(_matrix(sample.column("v")), max(1, len(sample) // leaves)) if len(sample) else Tree(np.zeros((1, 1)), [[]], [0], 1)
     held = spark.sparkContext.broadcast(tree)
 
     def put(batches):
@@ -164,7 +177,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
             if batch.num_rows:
                 yield {"vec_id": batch.column("vec_id"), "v": batch.column("v"), "leaf": held.value.assign(_matrix(batch.column("v")))}
 
-    placed = stage(arrow_map(rows.select("vec_id", "v"), put, "vec_id long, v array<double>, leaf long"), "leaves")
+    placed = stage(arrow_map(rows.select("vec_id", "v"), put, "vec_id long, v binary, leaf long"), "leaves")
     queries = all_rows.where(is_query(F.col("vec_id")))
     distinct = queries.groupBy("key").agg(F.first("v").alias("v"))
     visits = _calibrate(placed, distinct, tree, k, goal, calibration)
@@ -177,7 +190,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
             for batch in batches:
                 out = {"leaf": [], "key": [], "v": [], "within": []}
                 for key, v, within in zip(*(batch.column(c).to_pylist() for c in ("key", "v", "within"))):
-                    for leaf in held.value.best_first(np.array(v), hi)[lo:]:
+                    for leaf in held.value.best_first(np.frombuffer(v), hi)[lo:]:
                         for name, value in zip(out, (leaf, key, v, within)):
                             out[name].append(value)
                 yield out
@@ -185,7 +198,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
         def each(n):
             return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-        asked = stage(arrow_map(asking, order, "leaf long, key string, v array<double>, within double"), "asked")
+        asked = stage(arrow_map(asking, order, "leaf long, key string, v binary, within double"), "asked")
         both = F.broadcast(asked.groupBy("leaf").agg(F.ceil(F.count("*") / ask_cut).alias("ask_cuts")).join(F.broadcast(sizes), "leaf"))
         asks = asked.join(both, "leaf").select("leaf", F.pmod(F.xxhash64("key"), "ask_cuts").alias("ask_cut"), each("cuts").alias("cut"), "key", F.lit(None).cast("long").alias("vec_id"), "v", "within")
         there = placed.join(both, "leaf").select("leaf", each("ask_cuts").alias("ask_cut"), F.pmod(F.xxhash64("vec_id"), "cuts").alias("cut"), F.lit(None).cast("string").alias("key"), "vec_id", "v", F.lit(None).cast("double").alias("within"))
@@ -217,10 +230,10 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
 
 def _calibrate(placed: DataFrame, queries: DataFrame, tree: Tree, k: int, goal: float, calibration: int) -> int:
     """The fewest leaf visits with which `calibration` queries at most find the goal's share of their exact neighbours among all rows."""
-    some = [r["v"] for r in queries.orderBy(F.xxhash64("key"), "key").limit(calibration).collect()]
+    some = [bytes(r["v"]) for r in queries.orderBy(F.xxhash64("key"), "key").limit(calibration).collect()]
     if not some:
         return 1
-    asked = np.array(some, dtype=np.float64)
+    asked = _matrix(some)
 
     def exact(batches):
         held = [[] for _ in asked]
