@@ -163,7 +163,8 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), text: str =
     groups = mixed.groupBy(*keys).agg(F.count("*").alias("__n"), F.max("__copies").alias("__copies"))
     same = names[0].eqNullSafe(F.col("__id")) & names[1].eqNullSafe(F.col("__source"))
     copy = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
-    out = docs.join(groups.where("__n = 1 and __copies > 0").hint("merge"), same)  # it grows with docs, so it is never broadcast.select(*docs.columns, copy)
+    single = groups.where("__n = 1 and __copies > 0").hint("merge")  # it grows with docs, so it is never broadcast
+    out = docs.join(single, same).select(*docs.columns, copy)
     several = groups.where("__n > 1").select(*keys)
     if several.limit(1).count():
         at = Window.partitionBy(*keys, "__size")
