@@ -7,8 +7,8 @@ leaves another remainder than 2 modulo 4, as in the query of that operator.
 
 Defined cases: null and empty texts have no language, so the first stage rejects
 them; given to a later stage alone, they are equal texts (exact dedup), stay (near
-duplicates: they are linked with nothing), are never taken (mix: they have no
-words) and have no tokens. Null doc_ids are the smallest in exact dedup, and go in
+duplicates: they are linked with nothing), are dealt like others though they add
+no words (mix), and have no tokens. Null doc_ids are the smallest in exact dedup, and go in
 near duplicates where a document with an id is in the group. Rows that are equal
 in id and text are one for exact dedup, and stay or go together as near duplicates.
 Ties are broken as in the operators. Texts of any length are read whole, an empty
