@@ -32,6 +32,7 @@ SHAPES = 4096
 TERMS = 2 * SHAPES  # the second half: words
 WORDS_COUNT = 0.5  # the words' part in a vector, against 1 for the shapes'
 _SLICE = 500_000
+_STEPS = 1 << 20  # factors of products are whole numbers of such steps to 1, unit vectors' of 16 times as many
 
 
 @lru_cache(maxsize=1)
@@ -121,8 +122,14 @@ def _frequencies(counts: np.ndarray) -> np.ndarray:
     return np.concatenate((parts[0], np.float32(WORDS_COUNT) * parts[1]), axis=1)
 
 
+def _steps(x: np.ndarray, steps: int = _STEPS) -> np.ndarray:
+    return np.rint(x.astype(np.float64) * steps) / steps
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    """Rows of length 1, in steps. Squares of steps add up without rounding, in any order."""
+    x = _steps(x)
+    return _steps(x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12), 16 * _STEPS)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", per_class: int = 1500, dimensions: int = 48) -> Model | None:
@@ -158,28 +165,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     for _ in range(4):  # subspace iteration towards the leading right singular vectors
         probe, _ = np.linalg.qr(x.T @ (x @ probe))
     _, _, right = np.linalg.svd(x @ probe, full_matrices=False)
-    axes = (probe @ right[:k].T).astype(np.float32)
+    axes = _steps(probe @ right[:k].T)
     votes = np.array([sizes[c] / (y == c).sum() for c in y.tolist()], dtype=np.float32)
-    return Model(weight, axes, _unit(x @ axes).astype(np.float32), y, votes)
+    return Model(weight, axes, _unit(_steps(x) @ axes), y, votes)
 
 
 def vote(model: Model, texts: list[str], neighbours: int = 15, block: int = 64) -> np.ndarray:
     """The similarity-weighted share of label 1 among each text's nearest labelled documents.
 
-    Blocks are filled up to the same number of rows, so that a text's products
-    don't depend on what stands beside it.
+    Factors are whole numbers of steps small enough for their products' sums to be
+    exact in double precision, so that a text's cosines don't depend on its place
+    in a block, however the library or machine orders the sums.
     """
     out = []
     for i in range(0, len(texts), block):
         some = texts[i : i + block]
-        counts = term_counts(some + [""] * (block - len(some)))
-        v = _unit((_frequencies(counts) * model.weight) @ model.axes)
-        near = np.round((v @ model.vectors.T)[: len(some)], 6)  # beyond that, equal vectors differ by their place in a product
+        v = _unit(_steps(_frequencies(term_counts(some)) * model.weight) @ model.axes)
+        near = np.round(v @ model.vectors.T, 6)
         k = min(neighbours, near.shape[1])
         least = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
         above, level = near > least, near == least
         chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
-        sim = np.where(chosen, np.maximum(near, 0.01) ** 8 * model.votes, 0).astype(np.float64)
+        squared = np.square(np.square(np.maximum(near, 0.01)))
+        sim = np.where(chosen, squared * squared * model.votes, 0)
         out.append((sim * model.labels).sum(axis=1) / sim.sum(axis=1))
     return np.concatenate(out) if out else np.zeros(0)
 
