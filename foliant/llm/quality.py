@@ -167,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     _, _, right = np.linalg.svd(x @ probe, full_matrices=False)
     axes = _steps(probe @ right[:k].T)
     votes = np.array([sizes[c] / (y == c).sum() for c in y.tolist()], dtype=np.float32)
-    return Model(weight, axes, _unit(_steps(x) @ axes), y, votes)
+    vectors = np.concatenate([_unit(_steps(x[i : i + 256]) @ axes) for i in range(0, len(x), 256)])  # wider numbers for few rows at once
+    return Model(weight, axes, vectors, y, votes)
 
 
 def vote(model: Model, texts: list[str], neighbours: int = 15, block: int = 64) -> np.ndarray:
